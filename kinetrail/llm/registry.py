@@ -1,10 +1,16 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup
+from . import exact_dedup, mixing, pii, topk, warc
 
 QUERIES = {
+    "op1_topk_search": topk.op1_topk_search,
+    "op4_pii": pii.op4_pii,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_warc": warc.op7_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op1_topk_search": topk.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
