@@ -59,3 +59,14 @@ def mixed(x):
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def bounded_rows(rows: DataFrame, key: str, n: int) -> list:
+    """At most ``n`` rows of a labelled table, for fitting a classifier.
+
+    Ids are picked by hash, so the choice depends on ids alone; of rows repeated
+    with one id the smallest is used.
+    """
+    ids = rows.select(key).groupBy(key).agg(F.lit(1)).select(key).orderBy(F.xxhash64(F.lit(23), F.col(key)), key).limit(n)
+    rest = [c for c in rows.columns if c != key]
+    return rows.join(F.broadcast(ids), key).groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select("r.*").collect()

@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, mixing, pii, topk, warc
+from . import exact_dedup, language_id, mixing, pii, topk, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
