@@ -1,12 +1,13 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, mixing, pii, topk, warc
+from . import exact_dedup, language_id, mixing, pii, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op4_pii": pii.op4_pii,
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
