@@ -21,13 +21,15 @@ reader goes by Content-Length alone.
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
 CRLF = "\r\n"
-FILE_BYTES = 8 << 20
+FILE_RECORDS, BROADCAST_ROWS = 3 * 1024, 100_000
 DIGITS32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, http_headers string, payload binary, fields map<string,string>"
 
@@ -43,7 +45,7 @@ def _lines(*pairs):
     return F.concat_ws(CRLF, *[F.concat(F.lit(f"{k}: "), v) for k, v in pairs])
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
     """Write one transaction per row of ``pages`` to WARC files under ``path``."""
     ws = Workspace(pages.sparkSession, "warc")
     uri = F.replace(F.replace(F.coalesce(F.col(url).cast("string"), F.lit("about:blank")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -55,11 +57,13 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         "rows",
     )
     order = F.struct(F.col("page").isNull().alias("last"), "page", "row")
-    first = rows.groupBy("digest").agg(F.min(order).alias("first"))
-    known = rows.join(first, "digest")
+    first = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = ws.write(rows.filter(F.col("bytes") >= least_bytes).select("digest", "row").join(first, "digest").filter("first.row <> row").select("row", "first"), "later")
+    few = later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = rows.join(F.broadcast(later) if few else later, "row", "left")
     name = lambda page, row, kind: F.concat(F.lit("<urn:kinetrail:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(f":{kind}>"))
     me = lambda kind: name(F.col("page"), F.col("row"), kind)
-    revisit = (F.col("bytes") >= least_bytes) & (F.col("first.row") != F.col("row"))
+    revisit = F.col("first").isNotNull()
     head = lambda kind, uid, *more: F.concat(F.lit(f"WARC/1.1{CRLF}"), _lines(("WARC-Type", kind), ("WARC-Record-ID", uid), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("uri")), *more))
     record = lambda header, kind, block: F.concat(header, F.lit(f"{CRLF}Content-Type: {kind}{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
@@ -78,13 +82,14 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         F.when(revisit, again).otherwise(full),
         record(head(F.lit("metadata"), me("metadata"), ("WARC-Concurrent-To", response)), "application/warc-fields", facts),
     )
-    size = rows.agg(F.sum(F.col("bytes") + 1500)).first()[0] or 0
-    known.repartition(max(1, -(-size // file_bytes))).select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).text(path)
-    ws.drop("rows")
+    known.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
+    ws.drop("rows", "later")
 
 
 def parse_warc(data: bytes):
     """The records of one archive, as dicts; a broken rest raises ValueError."""
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
