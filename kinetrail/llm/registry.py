@@ -1,10 +1,11 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, mixing, pii, topk, toxicity, warc
+from . import exact_dedup, language_id, mixing, pii, sentencepiece_fst, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op4_pii": pii.op4_pii,
+    "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_mixing": mixing.op6_mixing,
     "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
