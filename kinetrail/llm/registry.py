@@ -1,9 +1,10 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, mixing, pii, sentencepiece_fst, topk, toxicity, warc
+from . import exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_mixing": mixing.op6_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
