@@ -1,10 +1,11 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, topk, toxicity, warc
+from . import exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_mixing": mixing.op6_mixing,
