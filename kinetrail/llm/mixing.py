@@ -1,7 +1,7 @@
 """Mixing sources to target weights by temperature.
 
-A source with token share p gets the weight p**a / sum(p**a). The exponent a in
-[0, 1] (1: natural shares, 0: equal weights) is the smallest that keeps the most
+A source with token share p gets the weight p**a / sum(p**a). The exponent a (1:
+natural shares, 0: equal weights, above 1: sharper) is the smallest that keeps the most
 repeated source within ``max_repetition`` epochs, and, with ``target_entropy``
 (nats), the one that brings the weights' entropy to the target, whichever is
 larger. It is found by bisection; one job tries ``WAYS`` - 1 inner points at once,
@@ -24,12 +24,14 @@ have the prefix ``__mx_``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
-MAX_REPETITION, BLOCK_TOKENS, SEED, WAYS, PASSES = 1.25, 1 << 16, 17, 64, 4
+MAX_REPETITION, BLOCK_TOKENS, SEED, WAYS, PASSES, SHARPEST = 1.25, 1 << 16, 17, 64, 4, 64.0
 BROADCAST_ROWS = 100_000
 
 
@@ -50,8 +52,6 @@ def fit_exponent(sources: DataFrame, total: int, max_repetition: float | None, t
         ok = {}
         for r in sums.collect():  # WAYS + 1 rows
             repeats = r["most"] / r["least"] if budget is None else budget * r["most"] / r["z"] / total
-            import math
-
             entropy = math.log(r["z"]) - r["a"] * r["l"] / r["z"]
             ok[r["a"]] = (max_repetition is None or repeats <= max_repetition * (1 + 1e-12)) and (target_entropy is None or entropy <= target_entropy + 1e-12)
         return ok
@@ -59,12 +59,16 @@ def fit_exponent(sources: DataFrame, total: int, max_repetition: float | None, t
     low, high = 0.0, 1.0
     if met([0.0])[0.0]:
         return 0.0
+    if not met([1.0])[1.0]:  # sharper than the natural shares
+        low, high = 1.0, SHARPEST
+        if not met([high])[high]:
+            raise ValueError("no exponent meets the targets")
     for _ in range(PASSES):
         points = [low + (high - low) * i / WAYS for i in range(1, WAYS)]
         ok = met(points)
         high = min([high, *(a for a in points if ok[a])])
         low = max([low, *(a for a in points if not ok[a] and a < high)])
-    return min(1.0, round(high + 5e-7, 6))
+    return round(high + 5e-7, 6) if high not in (1.0, SHARPEST) else high
 
 
 def _small(df: DataFrame, ws: Workspace, name: str) -> DataFrame:
