@@ -1,4 +1,4 @@
 """All registered queries of the episodic operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import episodes  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
