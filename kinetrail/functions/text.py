@@ -37,11 +37,11 @@ def drop_lines(x: Column, prefixes: list[str]) -> Column:
 
 def lines(x: Column) -> Column:
     """Non-empty trimmed lines."""
-    return F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def csv_list(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def big_number(x: Column, digits: int = 0) -> Column:
@@ -71,7 +71,7 @@ def coerce_status(x: Column, allowed: list[str], default: str) -> Column:
 def two_sentences(x: Column) -> Column:
     """Bullets stripped, blanks collapsed, the first two sentences with a final period."""
     t = F.trim(F.regexp_replace(F.regexp_replace(x, r"(?m)^[ \t]*[-*•]+[ \t]*", ""), r"\s+", " "))
-    parts = F.filter(F.transform(F.split(t, r"\."), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(t, r"\."), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(parts) > 0, F.concat(F.array_join(F.slice(parts, 1, 2), ". "), F.lit("."))).otherwise(F.lit(""))
 
 
