@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, mixed, table
 
 LENGTH, GRAM = 50, 24
-SLICE_BYTES, PIECE_BYTES, SHARD_BYTES, BUCKET_BYTES, MOST_BITS, BROADCAST_IDS = 1 << 20, 1 << 22, 1 << 20, 16 << 20, 30, 1_000_000
+SLICE_BYTES, PIECE_BYTES, SHARD_BYTES, BUCKET_BYTES, MOST_BITS, BROADCAST_IDS = 1 << 20, 1 << 22, 1 << 19, 8 << 20, 30, 1_000_000
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 RUN = "kind int, bucket long, docs binary, meta binary, data binary"
 META = np.dtype([("doc", "<u4"), ("start", "<u4"), ("anchor", "<u4"), ("windows", "u1")])
@@ -88,7 +88,8 @@ def runs(own: list[tuple[int, int, bytes]]):
     first = at[heads]
     rows, offsets = np.array([r for r, _, _ in own]), np.array([o for _, o, _ in own])
     p = piece[first]
-    return data, rows[p], first - (ends - sizes)[p] + offsets[p], first, np.diff(np.append(heads, len(at))), h[anchor[first]]
+    evenly = mixed(h[anchor[first]] + BASE)  # least hashes are small ones: mixed again, they fill all buckets
+    return data, rows[p], first - (ends - sizes)[p] + offsets[p], first, np.diff(np.append(heads, len(at))), evenly
 
 
 def _raw(column):
@@ -147,9 +148,12 @@ def _bits(log_buckets: int, log_bits: int):
 
 def _words(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """Bytes of runs, padded with zeros to ``width`` (a multiple of 8), as big-endian words."""
-    at = first[:, None] + np.arange(width)[None, :]
-    m = np.where(np.arange(width)[None, :] < sizes[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-    return m.reshape(len(first), width).view(">u8").astype(np.uint64)
+    out, inside = np.empty((len(first), width // 8), np.uint64), np.arange(width, dtype=np.int32)[None, :]
+    for k in range(0, len(first), 8192):
+        at = np.minimum(first[k : k + 8192, None].astype(np.int32) + inside, len(data) - 1)
+        m = np.where(inside < sizes[k : k + 8192, None], data[at], 0).astype(np.uint8)
+        out[k : k + 8192] = m.view(">u8")
+    return out
 
 
 WIDTH = -(-(2 * LENGTH - GRAM) // 8) * 8  # the longest run: LENGTH - GRAM + 1 windows
