@@ -9,11 +9,13 @@ in the tropical semiring (weights add along a path, the least sum wins).
 Unigram models weigh a piece with minus its score. In BPE models the scores rank
 merges, and the segmentation is the one that merging makes: a pair of neighbouring
 pieces is a legal arc pair (weight zero) if merging the two pieces' own text leaves
-exactly these two, and has infinite weight otherwise. Every position then has one
-finite-weight last piece, so one survivor per position is the exact shortest path.
+exactly these two, and has infinite weight otherwise. The lattice then has one path
+of finite weight, found depth first with dead positions remembered; the general
+dynamic program serves unigram models.
 The result equals that of the library (see the tests), without its code.
 
-Words are composed once and remembered in each worker, up to ``CACHE`` words.
+Words are composed once and remembered in each worker, in two generations of up to
+``CACHE`` words; words in use stay.
 Blanks never stand inside a piece in such models; where a model has pieces across
 blanks the whole text is one input.
 
@@ -26,7 +28,9 @@ column of the input with such a name is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -79,7 +83,7 @@ def read_model(path: str = MODEL) -> dict:
             if spec.get(2) or spec.get(4, 1):
                 raise ValueError("only identity normalisers that keep blanks are compiled")
             model["prefix"] = bool(spec.get(3, 1))
-    return model | {"pieces": pieces}
+    return model | {"pieces": pieces, "key": hashlib.sha256(data).hexdigest()}
 
 
 class Transducer:
@@ -90,15 +94,18 @@ class Transducer:
         self.bpe, self.prefix = model["bpe"], model["prefix"]
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.scores = [s for _, s, _ in pieces]
-        self.longest = max(map(len, self.ids), default=1)
+        self.starts = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids  # states of the acceptor; -1: not final
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
         self.by_word = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.worst = min(self.scores, default=0.0) - 10.0
         out = {NORMAL: lambda p: p.replace(BLANK, " ").encode(), USER: lambda p: p.replace(BLANK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.text = [out.get(kind, lambda p: b"")(p) for p, _, kind in pieces]
+        self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}  # neighbours inside some piece
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple, float] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[str | None, dict[str, float]] = {}
+        self.known_pairs = 0
 
     def merged(self, s: str) -> list[str]:
         """The pieces that merging makes of a short text: best score first, leftmost on ties."""
@@ -115,33 +122,83 @@ class Transducer:
         return parts
 
     def weight(self, before: str | None, piece: str) -> float:
-        """Weight of ``piece`` after ``before`` (None: after a boundary)."""
-        if not self.bpe:
-            return -self.scores[self.ids[piece]]
-        key = (before, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
+        """Weight of ``piece`` after ``before`` (None: after a boundary), remembered."""
+        if self.bpe:
             legal = self.merged(piece) == [piece] if before is None else self.merged(before + piece) == [before, piece]
-            found = self.pairs[key] = 0.0 if legal else INFINITE
+            found = 0.0 if legal else INFINITE
+        else:
+            found = -self.scores[self.ids[piece]]
+        if self.known_pairs >= PAIRS:
+            self.pairs.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        self.pairs.setdefault(before, {})[piece] = found
         return found
 
+    def only_path(self, s: str) -> list[int]:
+        """Ids on the one path of finite weight (BPE): depth first, longest piece first.
+
+        A position has one finite way to reach it, so one that failed once is dead.
+        """
+        n, ids, starts, pairs = len(s), self.ids, self.starts, self.pairs
+        dead, stack, i, before, ends = set(), [], 0, None, None
+        while i < n:
+            if ends is None:
+                ends, j = [], i + 1
+                state = starts.get(s[i:j])
+                if state is None or s[i] not in ids:
+                    ends.append(-j)  # a character by its bytes
+                while state is not None:
+                    if state >= 0:
+                        ends.append(j)
+                    j += 1
+                    state = starts.get(s[i:j]) if j <= n else None
+            row = pairs.get(before)
+            while ends:
+                j = ends.pop()
+                if j < 0:
+                    piece, j, c = None, -j, 0.0
+                else:
+                    piece = s[i:j]
+                    c = row.get(piece) if row is not None else None
+                    if c is None:
+                        c = self.weight(before, piece)
+                if c == 0.0 and j not in dead:
+                    stack.append((i, before, ends, piece))
+                    i, before, ends = j, piece, None
+                    break
+            else:
+                dead.add(i)
+                i, before, ends, _ = stack.pop()
+        out = []
+        for i, _, _, piece in stack:
+            if piece is not None:
+                out.append(ids[piece])
+            else:
+                out += [self.bytes[b] for b in s[i].encode()] if self.bytes else [self.unknown]
+        return out
+
     def shortest(self, s: str) -> list[int]:
         """Ids on the shortest path through the lattice of ``s``."""
-        n, ids = len(s), self.ids
-        cost, last = [0.0] + [INFINITE] * n, [None] * (n + 1)  # last: (start, piece or None for bytes)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        n, ids, starts, none = len(s), self.ids, self.starts, {}
+        cost, last = [0.0] + [INFINITE] * n, [(0, None)] * (n + 1)  # last: (start, piece or None for bytes)
+        for i in range(n):
+            so_far, before = cost[i], last[i][1]
+            if so_far == INFINITE:
+                continue
+            row = self.pairs.get(before, none)
+            for j in range(i + 1, n + 1):
                 piece = s[i:j]
-                if piece in ids and cost[i] < INFINITE:
-                    c = cost[i] + self.weight(last[i][1] if last[i] else None, piece)
+                state = starts.get(piece)
+                if state is None:
+                    break
+                if state >= 0:
+                    c = row.get(piece)
+                    c = so_far + (self.weight(before, piece) if c is None else c)
                     if c < cost[j]:
                         cost[j], last[j] = c, (i, piece)
-                        if self.bpe:  # the only finite one
-                            break
-            if s[j - 1] not in ids and cost[j - 1] - self.worst < cost[j]:
-                cost[j], last[j] = cost[j - 1] - self.worst, (j - 1, None)
+            if s[i] not in ids and so_far - self.worst < cost[i + 1]:
+                cost[i + 1], last[i + 1] = so_far - self.worst, (i, None)
         out, j = [], n
         while j:
             i, piece = last[j]
@@ -155,12 +212,21 @@ class Transducer:
         return out[::-1]
 
     def _word(self, s: str) -> bytes:
-        """Ids of one input as little-endian int32, remembered."""
-        found = self.words.get(s)
+        """Ids of one input as int32, remembered."""
+        found = self.words.get(s) or self.older.get(s)
         if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.words[s] = np.array(self.shortest(s), "<i4").tobytes()
+            joins, cuts = self.joins, [0]
+            for k in range(1, len(s)):  # no piece spans a pair that none contains
+                if s[k - 1 : k + 1] not in joins:
+                    cuts.append(k)
+            if len(cuts) > 1:
+                cuts.append(len(s))
+                found = b"".join([self._word(s[a:b]) for a, b in zip(cuts, cuts[1:])])
+            else:
+                found = array("i", self.only_path(s) if self.bpe else self.shortest(s)).tobytes()
+        if len(self.words) >= CACHE:  # words in use move on to the next generation
+            self.older, self.words = self.words, {}
+        self.words[s] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -182,6 +248,17 @@ class Transducer:
         return s[1:] if self.prefix and s.startswith(" ") else s
 
 
+_COMPILED: dict[str, Transducer] = {}
+
+
+def compiled(model: dict) -> Transducer:
+    """The transducer of a model, kept by the worker process across its tasks."""
+    if model["key"] not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[model["key"]] = Transducer(model)
+    return _COMPILED[model["key"]]
+
+
 _INPUT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _LINE = re.compile("(\n)")
 
@@ -190,7 +267,7 @@ def _run(shared, names: list[str]):
     def run(batches):
         import pyarrow as pa
 
-        fst = Transducer(shared.value)
+        fst = compiled(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 b = batch.slice(k, SLICE)
@@ -225,7 +302,7 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(series):
-        fst = Transducer(shared.value)
+        fst = compiled(shared.value)
         for s in series:
             yield s.map(lambda x: None if x is None else fst.decode(x))
 
