@@ -15,7 +15,7 @@ with a smaller id. Shards are cut by content, so that equal strings meet:
    larger documents of the slice are settled on the map side.
 4. A shard sorts its suffixes in numpy by Larsson-Sadakane refinement: by words of 8
    bytes, then only unsorted groups by the rank of the suffix h bytes on, h
-   doubling, until at least ``LENGTH`` bytes are sorted. Kasai's pass, in step over
+   doubling, until whole runs are sorted. Kasai's pass, in step over
    all runs, gives common prefixes; neighbours with LENGTH or more in common are
    one string, whose smallest document stays. A bucket has several shards if it is
    larger than ``SHARD_BYTES``; where an anchor's runs lie in two shards, their
@@ -208,23 +208,24 @@ def _send(shared, log_bits: int, log_buckets: int):
     return run
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes of ``data`` sorted by at least ``depth`` bytes (Larsson-Sadakane).
+def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffixes of ``data`` in order (Larsson-Sadakane).
 
     ends: for each position the end of its run, beyond which bytes count as zero.
+    Equal suffixes come by position, on which Kasai's pass relies.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     left = ends - np.arange(n)
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | np.where(i < left, padded[i : i + n], 0).astype(np.uint64)
-    order = np.argsort(word, kind="stable")
+    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    near = np.flatnonzero(left < 8)
+    word[near] &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - left[near].astype(np.uint64)))) - np.uint64(1))
+    order = np.argsort(word)
     new = np.ones(n, bool)
     new[1:] = word[order[1:]] != word[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1  # 0 is the end of a run
-    h = 8
+    h, depth = 8, int(left.max(initial=0))
     while h < depth:
         more = np.ones(n, bool)
         more[:-1] = new[1:]
@@ -233,14 +234,20 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.
             break
         at = order[slots]
         on = np.where(h < left[at], rank[np.minimum(at + h, n - 1)], 0)
-        by = np.lexsort((on, rank[at]))
-        at, on, group = at[by], on[by], rank[at][by]
+        by = np.argsort(rank[at] * (n + 1) + on)
+        at, on = at[by], on[by]
+        group = rank[at]
         order[slots] = at
         fresh = np.ones(len(at), bool)
         fresh[1:] = (on[1:] != on[:-1]) | (group[1:] != group[:-1])
         new[slots] = fresh
         rank[at] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
         h *= 2
+    more = np.ones(n, bool)
+    more[:-1] = new[1:]
+    slots = np.flatnonzero(~(new & more))
+    at = order[slots]
+    order[slots] = at[np.argsort(rank[at] * (n + 1) + at)]
     return order
 
 
