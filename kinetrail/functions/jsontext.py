@@ -13,7 +13,7 @@ def clean(x: Column) -> Column:
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
     t = F.translate(t, "“”„‘’", "\"\"\"''")
     t = F.regexp_replace(t, r",(\s*,)+", ",")
-    return F.trim(F.regexp_replace(t, r",\s*([}\]])", "$1"))
+    return F.regexp_replace(F.regexp_replace(t, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
 
 
 def outer_object(x: Column) -> Column:

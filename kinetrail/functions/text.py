@@ -19,7 +19,7 @@ def norm_bool(x: Column, letters: bool = True) -> Column:
 def strip_fences(x: Column) -> Column:
     """Text without code-fence lines, from the last ``assistant`` header on."""
     inner = F.regexp_replace(x, r"(?m)^```[a-zA-Z]*[ \t]*$\n?", "")
-    return F.trim(F.element_at(F.split(inner, "assistant\n"), -1))
+    return F.regexp_replace(F.element_at(F.split(inner, "assistant\n"), -1), r"^\s+|\s+$", "")
 
 
 def drop_lines(x: Column, prefixes: list[str]) -> Column:

@@ -19,3 +19,17 @@ def video_path(episode: Column, size: int, key: str) -> Column:
 def episode_of(path: Column) -> Column:
     """Episode number of a data or video path, null for other paths."""
     return F.nullif(F.regexp_extract(path, r"episode_(\d+)\.[a-z0-9]+$", 1), F.lit("")).cast("int")
+
+
+def write_episodes(df, path: str, size: int, episode: str = "episode_index", frame: str = "frame_index") -> None:
+    """Frames as parquet under one folder per chunk; an episode is in one file, in order."""
+    rows = df.withColumn("episode_chunk", chunk_of(F.col(episode), size))
+    rows.repartition("episode_chunk", episode).sortWithinPartitions("episode_chunk", episode, frame).write.partitionBy("episode_chunk").parquet(f"{path}/data")
+
+
+def read_episodes(spark, path: str, size: int, episodes: list[int] | None = None, episode: str = "episode_index"):
+    """Frames of all or of the listed episodes; the list also prunes chunk folders."""
+    rows = spark.read.parquet(f"{path}/data")
+    if episodes is None:
+        return rows
+    return rows.filter(F.col("episode_chunk").isin(sorted({e // size for e in episodes})) & F.col(episode).isin(episodes))
