@@ -1,5 +1,5 @@
 """All registered queries of the episodic operators, with their SQL."""
 
-from . import datasets, episodes, training_rows  # noqa: F401
+from . import catalog_rows, datasets, episodes, training_rows  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 from .training_rows import flagship  # noqa: F401
