@@ -3,8 +3,8 @@
 Labels mark documents, so tokens are labelled first: on a bounded sample of
 labelled documents (``TRAIN_DOCS``) every word and every word start of ``STEMS``
 characters gets the lower confidence bound of its log-odds for toxic documents,
-counted over groups of near-equal documents (by the smallest word hash) so that
-copies do not vote twice; a word counts with the best of its own and its starts'
+counted over groups of near-equal documents (by the smallest hash of three words)
+so that copies do not vote twice; a word counts with the best of its own and its starts'
 bounds, so unseen forms of a known stem are found. In toxic documents the words
 with a high bound are toxic tokens, every other token is clean. The field
 has two states; its features are the odds buckets of a token and of its two
@@ -60,7 +60,7 @@ def lexicon(docs: list[list[str]], labels: list[int]) -> dict[str, int]:
     counts, totals, seen = (Counter(), Counter()), [set(), set()], set()
     for i, (tokens, y) in enumerate(zip(docs, labels)):
         kinds = set(tokens)
-        group = min((zlib.crc32(w.encode()) for w in kinds), default=-1 - i)
+        group = min((zlib.crc32(" ".join(tokens[k : k + 3]).encode()) for k in range(max(1, len(tokens) - 2))), default=0) if tokens else -1 - i
         totals[y].add(group)
         for w in {k for w in kinds for k in keys(w)}:
             mark = (w, group, y)
@@ -197,6 +197,11 @@ def train(texts: list[str], labels: list[int]) -> dict:
     toxic_from = 1 + int(np.searchsorted(EDGES, TOXIC_BOUND, side="right"))
     y = ((buckets >= toxic_from) & (np.repeat(own, sizes) == 1)).astype(np.int64)
     w = fit_field(features(buckets, sizes), y, sizes)
+    seen, even = np.bincount(features(buckets, sizes).ravel(), minlength=3 * BUCKETS), 1 + int(np.searchsorted(EDGES, 0.0))
+    for b in range(even + 2, BUCKETS):  # stronger evidence than the half has seen weighs as the strongest seen
+        for k in range(b, 3 * BUCKETS, BUCKETS):
+            if not seen[k]:
+                w["emit"][k] = w["emit"][k - 1]
     x, target = _summary(marginals(w, features(buckets, sizes), sizes)[0], sizes), own.astype(float)
     c = np.zeros(3)
     for _ in range(30):  # Newton's method with a ridge
