@@ -13,7 +13,7 @@ import numpy as np
 from .common import mixed
 
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def slices(texts: list[bytes | None], limit: int = SLICE_BYTES):

@@ -107,7 +107,7 @@ def test_ngram_join(spark, monkeypatch):
             assert r["component_id"] is None and r["n_shingles"] == 1
         else:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
-    monkeypatch.setattr(ngram_join, "SALT_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     again = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs(spark, rows)).collect() if r["doc_id"] is not None}
     assert again == {i: c for i, (_, c) in want.items()}
