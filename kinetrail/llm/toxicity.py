@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 Labels mark documents, so tokens are labelled first: on a bounded sample of
-labelled documents (``TRAIN_DOCS``) every word and every word start of ``STEMS``
+labelled documents (``TRAIN_DOCS``, whole texts) every word and every word start of ``STEMS``
 characters gets the lower confidence bound of its log-odds for toxic documents,
 counted over groups of near-equal documents (by the smallest hash of three words)
 so that copies do not vote twice; a word counts with the best of its own and its starts'
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_rows, fold, table
 
-TRAIN_DOCS, TRAIN_CHARS, STEPS, RATE, PENALTY = 4000, 6_000, 40, 0.2, 1e-3
+TRAIN_DOCS, STEPS, RATE, PENALTY = 4000, 40, 0.2, 1e-3
 STEMS, CACHE = range(3, 8), 200_000
 EDGES = (-1.0, -0.3, 0.3, 1.0, 1.6, 2.2, 3.0, 4.0, 5.0)  # of odds buckets; bucket 0 is an unknown word
 TOXIC_BOUND, LEAST_DOCS, PREDICT, SLICE = 1.6, 3, 0.3, 512
@@ -57,16 +57,13 @@ def keys(w: str) -> list[str]:
 
 def lexicon(docs: list[list[str]], labels: list[int]) -> dict[str, int]:
     """Key to bucket, for keys with evidence either way; all others are bucket 0."""
-    counts, totals, seen = (Counter(), Counter()), [set(), set()], set()
+    counts, totals = (Counter(), Counter()), [{}, {}]
     for i, (tokens, y) in enumerate(zip(docs, labels)):
-        kinds = set(tokens)
         group = min((zlib.crc32(" ".join(tokens[k : k + 3]).encode()) for k in range(max(1, len(tokens) - 2))), default=0) if tokens else -1 - i
-        totals[y].add(group)
-        for w in {k for w in kinds for k in keys(w)}:
-            mark = (w, group, y)
-            if mark not in seen:
-                seen.add(mark)
-                counts[y][w] += 1
+        totals[y].setdefault(group, set()).update(tokens)
+    for y in (0, 1):
+        for kinds in totals[y].values():
+            counts[y].update({k for w in kinds for k in keys(w)})
     n0, n1 = max(1, len(totals[0])), max(1, len(totals[1]))
     even, out = 1 + int(np.searchsorted(EDGES, 0.0)), {}
     for w in counts[0].keys() | counts[1].keys():
@@ -186,7 +183,8 @@ def train(texts: list[str], labels: list[int]) -> dict:
     share = sum(labels) / len(labels) if labels else 0.0
     if not labels or share in (0.0, 1.0):
         return {"share": share}
-    docs = [words(t.lower()) for t in texts]
+    shared = {}  # one object a word: whole texts repeat words often
+    docs = [[shared.setdefault(w, w) for w in words(t.lower())] for t in texts]
     order = sorted(range(len(docs)), key=lambda i: zlib.crc32(texts[i].encode()))
     half = [order[0::2], order[1::2]]
     if any(len({labels[i] for i in h}) < 2 for h in half):
@@ -248,8 +246,8 @@ def _run(shared):
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> dict:
-    """A model from at most TRAIN_DOCS labelled rows, TRAIN_CHARS characters of each."""
-    rows = labelled.select(F.col(key).alias("k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAIN_CHARS).alias("t"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
+    """A model from the whole texts of at most TRAIN_DOCS labelled rows."""
+    rows = labelled.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
     sample = sorted((r["t"], r["y"]) for r in bounded_rows(rows, "k", TRAIN_DOCS))
     return train([t for t, _ in sample], [y for _, y in sample])
 
