@@ -3,6 +3,7 @@
 import random
 
 from kinetrail.llm import toxicity
+from kinetrail.plans import catalog
 
 
 def test_toxicity_learns_from_the_end_of_long_texts(spark):
@@ -16,3 +17,13 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
     score, spans = toxicity.score_texts(model, [bad, clean])
     assert [bad[a:b] for a, b, _ in spans[0]] == ["zorgul", "blattek"] and spans[1] == []
     assert score[0] > 0.5 > toxicity.PREDICT > score[1]
+
+
+def test_event_frame_precedence_reads_every_frame(spark, tmp_path):
+    kinds = {1: "vvvvvpvp", 2: "ssvvsv", 3: "vvvvve", 4: "vvvvvv", 5: "svvvvp"}
+    names = {"v": "view", "p": "purchase", "s": "signup", "e": "error"}
+    rows = [(100 * u + i, u, f"2024-01-01 00:00:{i:02d}", names[c]) for u, text in kinds.items() for i, c in enumerate(text)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string")
+    df.withColumn("ts", df.ts.cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"]: r["events"] for r in catalog.QUERIES["event_frame_precedence"](spark, str(tmp_path)).collect()}
+    assert got == {1: [5, 7], 2: [0, 1, 4], 3: [5], 4: None, 5: [5]}
