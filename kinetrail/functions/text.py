@@ -45,12 +45,12 @@ def csv_list(x: Column) -> Column:
 
 
 def big_number(x: Column, digits: int = 0) -> Column:
-    """Human form with K, M, B, T, Q steps of a thousand."""
+    """Human form with K, M, B, T, Q steps of a thousand; halves go to the even digit, null stays null."""
     value, out = x.cast("double"), None
     for i, suffix in reversed(list(enumerate(["", "K", "M", "B", "T", "Q"]))):
-        text = F.concat(F.format_string(f"%.{digits}f", value / F.lit(1000.0**i)), F.lit(suffix))
+        text = F.concat(F.format_string(f"%.{digits}f", F.bround(value / F.lit(1000.0**i), digits)), F.lit(suffix))
         out = text if out is None else F.when(F.abs(value) < 1000.0 ** (i + 1), text).otherwise(out)
-    return out
+    return F.when(value.isNotNull(), out)
 
 
 def episode_number(x: Column) -> Column:
