@@ -33,10 +33,23 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where = self._at(name)
+            self._fs(where).delete(where, True)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write the last table and delete all others of this folder."""
+        out = self.write(df, "result")
+        for s in self._fs(self._at("")).listStatus(self._at("")):
+            if s.getPath().getName() != "result":
+                self.drop(s.getPath().getName())
+        return out
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _fs(self, where):
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fold(column, mod: int):

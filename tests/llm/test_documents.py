@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrail.llm import exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, toxicity
 from kinetrail.llm import shingles as sh
@@ -65,24 +66,27 @@ def shingle_reference(t, k=5):
 
 
 def join_reference(rows):
-    sets = {i: shingle_reference(t) for i, t in rows if i is not None}
-    parent = {i: i for i in sets}
+    """(set size, component) of each row: every row counts with its own text."""
+    sets = [shingle_reference(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
+    for a, b in itertools.combinations([i for i, r in enumerate(rows) if r[0] is not None], 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
-            ra, rb = root(a), root(b)
-            parent[max(ra, rb)] = min(ra, rb)
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+        if x and y and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and 100 * len(x & y) >= 75 * len(x | y):
+            parent[root(b)] = root(a)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), key), key) if key is not None else None
+    return sorted(((key, len(sets[i]), least[root(i)]) for i, (key, _) in enumerate(rows)), key=str)
 
 
-def near_rows(n=160):
-    random.seed(4)
+def near_rows(seed, n=120):
+    random.seed(seed)
     word = lambda: "".join(random.choice("abcde") for _ in range(3))
     line = " ".join(word() for _ in range(12))
     rows = []
@@ -93,26 +97,62 @@ def near_rows(n=160):
                 w[random.randrange(len(w))] = word()
         else:
             w = [word() for _ in range(random.randint(1, 60))]
-        rows.append((1000 - i, " ".join(w) if random.random() < 0.8 else " ".join(w) + " " + line))
+        rows.append((1000 * (seed + 1) - i, " ".join(w) if random.random() < 0.8 else " ".join(w) + " " + line))
     return rows
 
 
+def long_rows():
+    """Two near copies of a megabyte of words, and one that shares less than the bound."""
+    w = [str(i) for i in range(170_000)]
+    return [(90_001, " ".join(w)), (90_000, " ".join(w[:-9_000])), (90_002, " ".join(w[:120_000] + [x + "b" for x in w[120_000:]]))]
+
+
 def test_ngram_join(spark, monkeypatch):
-    rows = EDGES + near_rows()
+    rows = EDGES + [(5, "another text of the same id than above"), (9, "another text of the same id than above")] + long_rows()
+    for seed in range(5):
+        rows += near_rows(seed)
     want = join_reference(rows)
-    got = ngram_join.ngram_join(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None and r["n_shingles"] == 1
-        else:
-            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
-    monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
-    again = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs(spark, rows)).collect() if r["doc_id"] is not None}
-    assert again == {i: c for i, (_, c) in want.items()}
-    stay = {r["doc_id"] for r in ngram_join.drop_near_copies(docs(spark, rows)).collect()}
-    assert stay == {None} | {c for _, c in want.values()}
+    found = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert found(ngram_join.ngram_join(docs(spark, rows))) == want
+    for name, value in (("SALT_ROWS", 2), ("BLOCK", 4), ("BROADCAST_IDS", 0), ("BROADCAST_BYTES", 0), ("PAIRS_AT_ONCE", 50)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert found(ngram_join.ngram_join(docs(spark, rows))) == want
+
+
+def test_drop_near_copies(spark):
+    rows = EDGES + near_rows(7, 40)
+    clash = docs(spark, rows).withColumn("component_id", F.lit(1)).withColumn("id", F.lit("x")).withColumn("node", F.lit(2))
+    out = ngram_join.drop_near_copies(clash)
+    assert out.columns == clash.columns
+    assert {r["doc_id"] for r in out.collect()} == {c for _, _, c in join_reference(rows)}
+    assert ngram_join.ngram_join(docs(spark, [])).count() == 0
+
+
+def test_order_does_not_depend_on_batches():
+    """Lists in batches cut anywhere give the pairs of one batch."""
+    import pyarrow as pa
+
+    random.seed(5)
+    words = [[random.choice("abcdefgh") for _ in range(40)] for _ in range(12)]
+    doc, h = sh.shingle_sets([" ".join(w).encode() for w in words])
+    n = np.bincount(doc, minlength=12)
+    bits = ngram_join.bitmaps(doc, h, n).to_pylist()
+    rows = [(t, 0, 0, 0, int(n[i]), 0, i, i, bits[i]) for t in range(5) for i in range(12) if (i + t) % 3]
+    names = ["token", "a", "b", "own", "n", "place", "node", "component", "bits"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    run = lambda cuts: {tuple(x.values()) for b in ngram_join._open_pairs(1, True)([batch.slice(i, j - i) for i, j in zip([0, *cuts], [*cuts, len(rows)])]) for x in b.to_pylist()}
+    assert {p[1:] for p in run([])} == {p[1:] for p in run([3, 4, 4, 19, 30])} and run([])
+
+
+def test_bitmaps_bound_the_difference():
+    random.seed(6)
+    for size in (1, 3, 64, 65, 200, 1000):
+        own = [str(random.random()) for _ in range(size + 4)]
+        other = own[: -max(1, size // 6)] + [str(random.random()) for _ in range(size // 9)]
+        doc, h = sh.shingle_sets([" ".join(w).encode() for w in (own, other)])
+        n = np.bincount(doc, minlength=2)
+        differ = ngram_join.Bitmaps(n, ngram_join.bitmaps(doc, h, n).to_pylist()).differ(np.array([0]), np.array([1]))
+        assert differ[0] <= len(set(h[doc == 0].tolist()) ^ set(h[doc == 1].tolist()))
 
 
 def test_shingles_match_sets():
