@@ -9,8 +9,7 @@
 4. The other digests, none of which is frequent, use an ordinary shuffle.
 
 Defined results. Null texts count as empty. Of equal texts the largest id stays;
-null ids rank below all others. Rows repeated with the same id and text are one
-group of which one row stays. An empty table gives an empty table. Columns of the
+null ids rank below all others. Of rows repeated with the same id and text one stays. An empty table gives an empty table. Columns of the
 input may have any name: the working columns carry the prefix ``__xd_``.
 """
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
-CAPACITY = 1024
+CAPACITY, BROADCAST_GROUPS = 1024, 500_000
 
 
 def misra_gries(counts: dict, batch: dict, capacity: int) -> dict:
@@ -95,25 +94,29 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", capac
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, one per distinct text, all columns kept."""
+    """The rows of ``docs`` that stay, one per distinct text, all columns kept.
+
+    Winners are settled on (digest, id) alone; only groups of two rows and more come back
+    to the texts, which are not shuffled while those groups are few enough to broadcast.
+    Of rows repeated with one id and text the one with the smallest other columns stays.
+    """
     ws = Workspace(docs.sparkSession, "exact")
     ids = ws.write(docs.select(F.col(key).alias("__xd_id"), _digest(text).alias("__xd_digest")).withColumn("__xd_row", F.monotonically_increasing_id()), "ids")
-    winners = _winners(ids, ws, capacity).select("__xd_digest", F.col("__xd_stays.__xd_id").alias("__xd_id"))
-    rows = docs.withColumn("__xd_digest", _digest(text))
-    heavy = (
-        rows.join(F.broadcast(winners), (rows["__xd_digest"] == winners["__xd_digest"]) & rows[key].eqNullSafe(winners["__xd_id"]))
-        .groupBy(rows["__xd_digest"])  # rows repeated with the same id combine on the map side
-        .agg(F.first(F.struct(*[docs[f"`{c}`"] for c in docs.columns])).alias("__xd_all"))
-        .select("__xd_all.*")
-    )
-    order = Window.partitionBy("__xd_digest").orderBy(F.col(key).desc_nulls_last())
-    light = (
-        rows.join(F.broadcast(winners.select("__xd_digest")), "__xd_digest", "left_anti")
-        .withColumn("__xd_row", F.row_number().over(order))
-        .filter("__xd_row = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
-    return heavy.unionByName(light)
+    winners = _winners(ids, ws, capacity)
+    each = lambda df: df.groupBy("__xd_digest", "__xd_id").agg(F.count(F.lit(1)).alias("__xd_n")).groupBy("__xd_digest").agg(F.max(F.struct("__xd_id", "__xd_n")).alias("__xd_stays"), F.sum("__xd_n").alias("__xd_size"))
+    heavy = each(ids.join(F.broadcast(winners.select("__xd_digest")), "__xd_digest", "left_semi"))
+    light = each(ids.join(F.broadcast(winners.select("__xd_digest")), "__xd_digest", "left_anti"))
+    groups = ws.write(heavy.unionByName(light).filter("__xd_size > 1").select("__xd_digest", "__xd_stays"), "groups")
+    ws.drop("ids", "sketch", "winners")
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS  # else an ordinary join
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("__xd_digest", _digest(text)).join(F.broadcast(groups) if few else groups, "__xd_digest", "left")
+    stays = rows.filter(F.col("__xd_stays").isNull() | F.col(f"`{key}`").eqNullSafe(F.col("__xd_stays.__xd_id")))
+    if groups.filter("__xd_stays.__xd_n > 1").isEmpty():
+        return stays.select(*own)
+    again = F.coalesce(F.col("__xd_stays.__xd_n"), F.lit(1)) > 1
+    repeated = stays.filter(again).groupBy("__xd_digest").agg(F.min(F.struct(*own)).alias("__xd_all")).select("__xd_all.*")  # combined on the map side
+    return stays.filter(~again).select(*own).unionByName(repeated)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,20 @@ def test_exact_groups(spark, capacity):
     assert len({r["text"] or "" for r in out}) == len(out) == len(kept)
 
 
+@pytest.mark.parametrize("groups", [0, 1000])
+def test_exact_dedup_of_repeated_ids(spark, monkeypatch, groups):
+    """One id and text with other columns: the smallest row stays, whatever the partitions."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", groups)
+    rows = [(5, "same", "b", "s", 1), (5, "same", "a", "s", 2), (5, "same", "a", "s", 2), (4, "same", "0", "s", 0), (5, "other", "z", "s", 9), (None, "", "x", "s", 3), (None, None, "w", "s", 4)]
+    clash = lambda n: spark.createDataFrame(rows, SCHEMA).repartition(n).withColumn("id", F.lit("x")).withColumn("n", F.lit(1))
+    for n in (1, 5):
+        out = exact_dedup.exact_dedup(clash(n))
+        assert out.columns == clash(n).columns
+        assert {(r["doc_id"], r["text"], r["lang"]) for r in out.collect()} == {(5, "same", "a"), (5, "other", "z"), (None, None, "w")}
+        assert out.count() == 3
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
 def test_misra_gries_bound():
     random.seed(1)
     items = [random.choice("aab") if random.random() < 0.5 else str(random.random()) for _ in range(2000)]
