@@ -1,23 +1,23 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
-Vectors are quantised to integers and packed into blocks of a few hundred rows
-that cover a range of ids. A block holds its forward index (the integer matrix)
-and, per term (component), the largest and smallest value. For a query the sum
-over terms of the largest possible contribution bounds every score in a block.
-Each query walks the blocks in the order of that bound and scores them through
-their forward indexes until the bound falls below its k-th score; equal bounds
-are still scored, so ties are settled exactly.
-
-The query set is stated by the caller and meets the rows in blocks: a cell is one
-group of document blocks and one block of queries, so the memory of a task is
-bounded and cells spread over the cluster. Each cell returns k rows a query, and
-a window keeps the k best of them.
+Vectors are quantised to integers and packed into blocks of some dozen rows that
+cover a range of ids. A block holds its forward index (the integer matrix) and, per
+term (component), the largest and smallest value. For a query the sum over terms of
+the largest possible contribution bounds every score in a block. Each query walks the
+blocks in the order of that bound and scores them through their forward indexes until
+the bound falls below its k-th score; equal bounds are still scored, so ties are
+settled exactly.
+
+Document blocks are shuffled once, to cells of bounded size; the stated query set is
+sent to every cell and streams past the blocks that the cell holds. Before that all
+queries meet one cell's blocks: their k-th scores there go with them as seeds, so every
+other cell prunes, and returns rows, from the seed on. A window keeps the k best.
 
 Defined results. Vectors that are null, or hold null or non-finite components,
 take no part. Only vectors of equal length meet. A candidate with the query's id
 is the query's own. Rows repeated with one id are candidates each, and queries
-each. Ties go to the smaller id. Null ids take no part. Components must stay below
-2**26 in size after scaling, so that sums fit a long; larger ones are clipped.
+each. Ties go to the smaller id. Null ids take no part. Components and scores are
+exact; one that does not fit a long is an error. Vectors without components score 0.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
-K, SCALE, BLOCK_ROWS, GROUP_ROWS, QUERY_ROWS = 10, 1024.0, 256, 8192, 256
-LIMIT = 1 << 26
-BLOCK = "part int, dim int, n int, ids binary, marks binary, forward binary, highest binary, lowest binary"
+K, SCALE, BLOCK_ROWS, BLOCK_BYTES, GROUP_BYTES, QUERY_ROWS = 10, 1024.0, 64, 1 << 15, 16 << 20, 2048
+LEAST = np.iinfo(np.int64).min
+BLOCK = "part int, dim int, no int, n int, ids binary, marks binary, forward binary, highest binary, lowest binary"
+CELL = ["cell", "kind", "part", "dim", "no", "ids", "marks", "forward", "highest", "lowest", "seeds"]
 
 
-def _pack(scale: float, rows: int):
-    """Rows of a partition, by id, as blocks of at most ``rows`` of one length."""
+def _pack(scale: float):
+    """Rows of a partition, by id, as blocks of rows of one length."""
 
     def run(batches):
         import pyarrow as pa
@@ -50,91 +51,146 @@ def _pack(scale: float, rows: int):
         if not ids:
             return
         ids, marks, dims, values = (np.concatenate(x) for x in (ids, marks, dims, values))
-        starts = np.concatenate([[0], np.cumsum(dims)[:-1]]).astype(np.int64)
+        scaled = np.floor(scale * values)
+        if len(scaled) and np.abs(scaled).max() >= 2.0**63:
+            raise ValueError("a scaled component does not fit a long")
+        starts, scaled = np.concatenate([[0], np.cumsum(dims)[:-1]]).astype(np.int64), scaled.astype(np.int64)
         part, out = TaskContext.get().partitionId(), []
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
             at = at[np.lexsort((marks[at], ids[at]))]
-            for k in range(0, len(at), rows):
+            rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, int(dim)))))
+            for no, k in enumerate(range(0, len(at), rows)):
                 own = at[k : k + rows]
-                m = np.clip(np.floor(scale * values[starts[own][:, None] + np.arange(dim)[None, :]]), -LIMIT, LIMIT).astype(np.int64).reshape(len(own), dim)
-                out.append((part, int(dim), len(own), ids[own].tobytes(), marks[own].tobytes(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()))
-        names = ["part", "dim", "n", "ids", "marks", "forward", "highest", "lowest"]
-        kinds = [pa.int32()] * 3 + [pa.binary()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+                m = scaled[starts[own][:, None] + np.arange(dim)[None, :]].reshape(len(own), dim)
+                out.append((part, int(dim), no, len(own), ids[own].tobytes(), marks[own].tobytes(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()))
+        names = ["part", "dim", "no", "n", "ids", "marks", "forward", "highest", "lowest"]
+        kinds = [pa.int32()] * 4 + [pa.binary()] * 5
+        for k in range(0, len(out), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 64]), kinds)], names=names)
 
     return run
 
 
-def prune_and_score(query_ids, queries, blocks, k: int = K):
-    """Top k of each query: (scores, ids, found). blocks: (ids, forward, highest, lowest)."""
-    n = len(queries)
-    top_s = np.full((n, k), np.iinfo(np.int64).min)
-    top_i = np.full((n, k), np.iinfo(np.int64).max)
-    found = np.zeros(n, dtype=np.int64)
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = plus @ np.stack([b[2] for b in blocks]).T + minus @ np.stack([b[3] for b in blocks]).T
+def exact_kind(queries: np.ndarray, blocks: list):
+    """The fastest number type in which all scores and bounds are exact."""
+    most = max((max(float(np.abs(b[2].astype(np.float64)).max(initial=0)), float(np.abs(b[3].astype(np.float64)).max(initial=0))) for b in blocks), default=0.0)
+    size = float(np.abs(queries.astype(np.float64)).sum(1).max(initial=0)) * most
+    return np.float64 if size < 2.0**52 else np.int64 if size < 2.0**62 else object
+
+
+def prune_and_score(query_ids, queries, blocks, k: int = K, seeds=None):
+    """Top k of each query, from its seed on: (scores, ids, found, blocks scored)."""
+    n, kind = len(queries), exact_kind(queries, blocks)
+    top_s, top_i = np.full((n, k), LEAST), np.full((n, k), np.iinfo(np.int64).max)
+    found, scored = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    seeds = np.full(n, LEAST) if seeds is None else seeds
+    of = lambda m: m.astype(kind)
+    own = of(queries)
+    plus, minus = np.maximum(own, 0), np.minimum(own, 0)
+    bounds = plus @ of(np.stack([b[2] for b in blocks]).T) + minus @ of(np.stack([b[3] for b in blocks]).T)
     order = np.argsort(-bounds, axis=1, kind="stable")
     active = np.arange(n)
     for step in range(len(blocks)):
         best = order[active, step]
-        active = active[(found[active] < k) | (bounds[active, best] >= top_s[active, k - 1])]
+        bar = np.maximum(seeds[active], np.where(found[active] < k, LEAST, top_s[active, k - 1]))
+        active = active[bounds[active, best] >= bar]
         if not len(active):
             break
         best = order[active, step]
         for b in np.unique(best):
             q = active[best == b]
             ids, forward = blocks[b][:2]
-            s = queries[q] @ forward.T
-            other = ids[None, :] != query_ids[q][:, None]
-            found[q] += other.sum(1)
-            s = np.concatenate([top_s[q], np.where(other, s, np.iinfo(np.int64).min)], axis=1)
-            i = np.concatenate([top_i[q], np.where(other, ids[None, :], np.iinfo(np.int64).max)], axis=1)
-            first = np.lexsort((i, -s.astype(np.float64) if np.abs(s[s > np.iinfo(np.int64).min]).max(initial=0) < 1 << 53 else ~s), axis=1)[:, :k]
+            scored[q] += 1
+            exact = own[q] @ of(forward).T
+            if kind is object and any(not LEAST < x <= np.iinfo(np.int64).max for x in exact.ravel()):
+                raise OverflowError("a score does not fit a long")
+            s = exact.astype(np.int64)
+            use = (ids[None, :] != query_ids[q][:, None]) & (s >= seeds[q][:, None])
+            found[q] += use.sum(1)
+            s = np.concatenate([top_s[q], np.where(use, s, LEAST)], axis=1)
+            i = np.concatenate([top_i[q], np.where(use, ids[None, :], np.iinfo(np.int64).max)], axis=1)
+            first = np.lexsort((i, ~s), axis=1)[:, :k]
             top_s[q], top_i[q] = np.take_along_axis(s, first, 1), np.take_along_axis(i, first, 1)
-    return top_s, top_i, np.minimum(found, k)
-
-
-def _cell(k: int):
-    def run(left, right):
-        import pandas as pd
-
-        outs = []
-        for _, q in right.iterrows():
-            blocks = []
-            for _, b in left[left["dim"] == q["dim"]].iterrows():
-                of = lambda name, b=b: np.frombuffer(b[name], np.int64)
-                blocks.append((of("ids"), of("forward").reshape(b["n"], b["dim"]), of("highest"), of("lowest")))
-            if not blocks:
-                continue
-            ids, marks = np.frombuffer(q["ids"], np.int64), np.frombuffer(q["marks"], np.int64)
-            s, i, found = prune_and_score(ids, np.frombuffer(q["forward"], np.int64).reshape(q["n"], q["dim"]), blocks, k)
-            have = np.arange(k)[None, :] < found[:, None]
-            rows = np.repeat(np.arange(len(ids)), k).reshape(-1, k)[have]
-            outs.append(pd.DataFrame({"query_id": ids[rows], "mark": marks[rows], "vec_id": i[have], "score": s[have]}))
-        return pd.concat(outs) if outs else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "mark", "vec_id", "score")})
+    return top_s, top_i, np.minimum(found, k), scored
+
+
+def _cells(k: int, ahead: bool):
+    """Rows come sorted by cell, blocks (kind 0) before queries (kind 1).
+
+    ``ahead``: each query block's k-th scores, else the top k rows.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        cell, blocks, waiting = None, {}, []
+
+        def answer():
+            if not waiting:
+                return
+            dim = waiting[0]["dim"]
+            of = lambda name: np.concatenate([np.frombuffer(w[name], np.int64) for w in waiting])
+            ids, marks = of("ids"), of("marks")
+            own = [w["seeds"] if w["seeds"] is not None else np.full(len(w["ids"]) // 8, LEAST).tobytes() for w in waiting]
+            seeds = np.concatenate([np.frombuffer(x, np.int64) for x in own])
+            found = np.zeros(len(ids), np.int64)
+            s = i = np.zeros((len(ids), k), np.int64)
+            if dim in blocks:
+                s, i, found, _ = prune_and_score(ids, of("forward").reshape(len(ids), dim), blocks[dim], k, seeds)
+            if ahead:
+                kth, cut = np.where(found < k, LEAST, s[:, k - 1]), np.cumsum([len(w["ids"]) // 8 for w in waiting])[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in waiting], pa.int32()) for c in ("part", "dim", "no")] + [pa.array([x.tobytes() for x in np.split(kth, cut)], pa.binary())], names=["part", "dim", "no", "seeds"])
+            else:
+                have = np.arange(k)[None, :] < found[:, None]
+                rows = np.repeat(np.arange(len(ids)), k).reshape(-1, k)[have]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(marks[rows]), pa.array(i[have]), pa.array(s[have])], names=["query_id", "mark", "vec_id", "score"])
+            waiting.clear()
+
+        for batch in batches:
+            for k0 in range(0, batch.num_rows, 64):
+                for r in batch.slice(k0, 64).to_pylist():
+                    if r["cell"] != cell:
+                        yield from answer()
+                        cell, blocks = r["cell"], {}
+                    if r["kind"] == 0:
+                        of = lambda name, r=r: np.frombuffer(r[name], np.int64)
+                        blocks.setdefault(r["dim"], []).append((of("ids"), of("forward").reshape(-1, r["dim"]) if r["dim"] else np.zeros((len(r["ids"]) // 8, 0), np.int64), of("highest"), of("lowest")))
+                        continue
+                    if waiting and (waiting[0]["dim"] != r["dim"] or sum(len(w["ids"]) for w in waiting) >= 8 * QUERY_ROWS):
+                        yield from answer()
+                    waiting.append(r)
+        yield from answer()
 
     return run
 
 
 def topk_search(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score for each row where ``is_query`` holds."""
-    ws = Workspace(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    ws = Workspace(spark, "topk")
     own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("query"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = own.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(F.forall("v", finite)).withColumn("mark", F.monotonically_increasing_id())
     valid = ws.write(valid, "valid")
-    rows, asked = valid.agg(F.count(F.lit(1)), F.count(F.when(F.col("query"), 1))).first()
-    groups, pieces = max(1, -(-rows // GROUP_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    pack = lambda df, n, size: df.repartitionByRange(n, "id", "mark").select("id", "mark", "v").mapInArrow(_pack(scale, size), BLOCK)
-    blocks = ws.write(pack(valid, groups, BLOCK_ROWS), "blocks")
-    queries = ws.write(pack(valid.filter("query"), pieces, QUERY_ROWS), "queries")
-    # The numbers of parts are known, so both sides name the cells they meet in.
-    left = blocks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumnRenamed("part", "cell")
-    right = queries.withColumnRenamed("part", "piece").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = left.groupBy("cell", "piece").cogroup(right.groupBy("cell", "piece")).applyInPandas(_cell(k), "query_id long, mark long, vec_id long, score long")
+    rows, size, asked = valid.agg(F.count(F.lit(1)), F.sum(F.size("v") * 8 + 16), F.count(F.when(F.col("query"), 1))).first()
+    groups = max(1, -(-(size or 0) // GROUP_BYTES), min(spark.sparkContext.defaultParallelism, -(-rows // (16 * BLOCK_ROWS))))
+    pack = lambda df, n: df.repartitionByRange(n, "id", "mark").select("id", "mark", "v").mapInArrow(_pack(scale), BLOCK)
+    blocks = ws.write(pack(valid, groups).withColumn("kind", F.lit(0)).withColumn("seeds", F.lit(None).cast("binary")), "blocks")
+    queries = ws.write(pack(valid.filter("query"), max(1, -(-asked // QUERY_ROWS))).withColumn("kind", F.lit(1)), "queries")
+    ws.drop("valid")
+    met = lambda a, b, n: a.select(*CELL).unionByName(b.select(*CELL)).repartition(n, "cell").sortWithinPartitions("cell", "kind", "dim")
+    if groups > 1:  # all queries meet the first cell's blocks, in as many tasks as they fill
+        spread = max(1, -(-asked // QUERY_ROWS))
+        ahead = met(blocks.filter("part = 0").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), queries.withColumn("cell", F.col("part") % spread).withColumn("seeds", F.lit(None).cast("binary")), spread)
+        seeds = ws.write(ahead.mapInArrow(_cells(k, True), "part int, dim int, no int, seeds binary"), "seeds")
+        queries = queries.join(seeds, ["part", "dim", "no"], "left")
+    else:
+        queries = queries.withColumn("seeds", F.lit(None).cast("binary"))
+    cells = met(blocks.withColumn("cell", F.col("part")), queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), groups)
+    found = cells.mapInArrow(_cells(k, False), "query_id long, mark long, vec_id long, score long")
     best = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ws.result(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def op1_topk_search(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_topk_against_brute_force(spark, monkeypatch):
     rows = [(i * 7 % 500, [random.choice([-0.5, 0.25, 0.125, 1.0]) for _ in range(4)], "x") for i in range(500)]
     rows += [(3, rows[3][1], "again"), (600, None, ""), (601, [1.0, None, 0.0, 0.0], ""), (602, [math.nan] * 4, ""), (603, [math.inf, 0.0, 0.0, 0.0], ""), (700, [1.0, 2.0], "short"), (None, [1.0] * 4, "")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    for name, n in (("BLOCK_ROWS", 8), ("GROUP_ROWS", 64), ("QUERY_ROWS", 3)):
+    for name, n in (("BLOCK_ROWS", 8), ("GROUP_BYTES", 3000), ("QUERY_ROWS", 3)):
         monkeypatch.setattr(topk, name, n)
     got = [tuple(r) for r in topk.topk_search(frame, F.col("vec_id") % 50 == 0, k=5).collect()]
     q = lambda v: [math.floor(1024 * x) for x in v]
@@ -33,20 +33,28 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.topk_search(frame.limit(0), F.lit(True)).count() == 0
 
 
-def test_pruning_skips_blocks():
-    import numpy as np
+def test_topk_of_large_components(spark):
+    frame = spark.createDataFrame([(1, [131072.0, 0.0]), (100, [1.0, 0.0]), (2, [1e12, -1.0]), (3, []), (200, [])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.topk_search(frame, F.col("vec_id") % 100 == 0).collect()]
+    assert sorted(got) == [(100, 1, 2, 1024 * 1024 * 10**12), (100, 2, 1, 137438953472), (200, 1, 3, 0)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.topk_search(spark.createDataFrame([(100, [1e15]), (2, [1e15])], frame.schema), F.col("vec_id") % 100 == 0).collect()
 
-    scored = []
 
-    class Seen(np.ndarray):
-        pass
+def test_pruning_skips_blocks():
+    import numpy as np
 
     blocks = []
     for b in range(6):
         m = np.full((4, 2), 10 - b, np.int64)
         blocks.append((np.arange(4) + 10 * b, m, m.max(0), m.min(0)))
-    s, i, found = topk.prune_and_score(np.array([999]), np.array([[1, 1]]), blocks, 3)
-    assert s.tolist() == [[20, 20, 20]] and i.tolist() == [[0, 1, 2]] and found.tolist() == [3] and not scored
+    one = np.array([999]), np.array([[1, 1]]), blocks
+    s, i, found, scored = topk.prune_and_score(*one, 3)
+    assert s.tolist() == [[20, 20, 20]] and i.tolist() == [[0, 1, 2]] and found.tolist() == [3] and scored.tolist() == [1]
+    assert topk.prune_and_score(*one, 6)[3].tolist() == [2]  # the second block fills up, the third cannot
+    assert topk.prune_and_score(*one, 24)[3].tolist() == [6]
+    s, i, found, scored = topk.prune_and_score(*one, 24, np.array([17]))  # a seed: only what reaches it
+    assert scored.tolist() == [2] and found.tolist() == [8] and s[0, :8].tolist() == [20] * 4 + [18] * 4
 
 
 PAGES = "page_id long, url string, html string, record_type string"
