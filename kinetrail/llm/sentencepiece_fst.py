@@ -8,10 +8,11 @@ in the tropical semiring (weights add along a path, the least sum wins).
 
 Unigram models weigh a piece with minus its score. In BPE models the scores rank
 merges, and the segmentation is the one that merging makes: a pair of neighbouring
-pieces is a legal arc pair (weight zero) if merging the two pieces' own text leaves
-exactly these two, and has infinite weight otherwise. The lattice then has one path
-of finite weight, found depth first with dead positions remembered; the general
-dynamic program serves unigram models.
+pieces has the weight one of the semiring (zero) if merging the two pieces' own text leaves
+exactly these two, and its zero (infinity) otherwise. Both are tropical weights: along a
+path they add up to zero if all pairs are legal, to infinity if one is not, and a text
+has exactly one path of finite weight, its shortest. One min-plus relaxation over the
+lazily composed lattice serves both kinds of model.
 The result equals that of the library (see the tests), without its code.
 
 Words are composed once and remembered in each worker, in two generations of up to
@@ -37,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .shingles import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, CACHE, PAIRS, SLICE = "▁", 400_000, 1_000_000, 512
+BLANK, CACHE, PAIRS, SLICE = "▁", 400_000, 1_000_000, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 INFINITE = float("inf")
 
@@ -135,70 +137,42 @@ class Transducer:
         self.pairs.setdefault(before, {})[piece] = found
         return found
 
-    def only_path(self, s: str) -> list[int]:
-        """Ids on the one path of finite weight (BPE): depth first, longest piece first.
-
-        A position has one finite way to reach it, so one that failed once is dead.
-        """
-        n, ids, starts, pairs = len(s), self.ids, self.starts, self.pairs
-        dead, stack, i, before, ends = set(), [], 0, None, None
-        while i < n:
-            if ends is None:
-                ends, j = [], i + 1
-                state = starts.get(s[i:j])
-                if state is None or s[i] not in ids:
-                    ends.append(-j)  # a character by its bytes
-                while state is not None:
-                    if state >= 0:
-                        ends.append(j)
-                    j += 1
-                    state = starts.get(s[i:j]) if j <= n else None
-            row = pairs.get(before)
-            while ends:
-                j = ends.pop()
-                if j < 0:
-                    piece, j, c = None, -j, 0.0
-                else:
-                    piece = s[i:j]
-                    c = row.get(piece) if row is not None else None
-                    if c is None:
-                        c = self.weight(before, piece)
-                if c == 0.0 and j not in dead:
-                    stack.append((i, before, ends, piece))
-                    i, before, ends = j, piece, None
-                    break
-            else:
-                dead.add(i)
-                i, before, ends, _ = stack.pop()
-        out = []
-        for i, _, _, piece in stack:
-            if piece is not None:
-                out.append(ids[piece])
-            else:
-                out += [self.bytes[b] for b in s[i].encode()] if self.bytes else [self.unknown]
+    def arcs(self, s: str, i: int) -> list[tuple[int, str | None]]:
+        """Composition of the input with the acceptor at position i: (end, piece) of every
+        piece that starts there, or (end, None) for a character that goes by its bytes."""
+        out, j, starts = [], i + 1, self.starts
+        if s[i] not in self.ids:
+            out.append((j, None))
+        state = starts.get(s[i])
+        while state is not None:
+            if state >= 0:
+                out.append((j, s[i:j]))
+            j += 1
+            state = starts.get(s[i:j]) if j <= len(s) else None
         return out
 
     def shortest(self, s: str) -> list[int]:
-        """Ids on the shortest path through the lattice of ``s``."""
-        n, ids, starts, none = len(s), self.ids, self.starts, {}
+        """Ids on the shortest path through the lattice of ``s`` in the tropical semiring.
+
+        Positions are relaxed from left to right. Of BPE lattices a position has at most one
+        path of finite weight, so its last piece is known and pair weights need no more states;
+        unigram weights do not depend on the piece before.
+        """
+        n, ids, none = len(s), self.ids, {}
         cost, last = [0.0] + [INFINITE] * n, [(0, None)] * (n + 1)  # last: (start, piece or None for bytes)
         for i in range(n):
             so_far, before = cost[i], last[i][1]
-            if so_far == INFINITE:
+            if so_far == INFINITE:  # composition is lazy: positions out of reach are not composed
                 continue
             row = self.pairs.get(before, none)
-            for j in range(i + 1, n + 1):
-                piece = s[i:j]
-                state = starts.get(piece)
-                if state is None:
-                    break
-                if state >= 0:
+            for j, piece in self.arcs(s, i):
+                if piece is None:
+                    c = so_far - self.worst
+                else:
                     c = row.get(piece)
                     c = so_far + (self.weight(before, piece) if c is None else c)
-                    if c < cost[j]:
-                        cost[j], last[j] = c, (i, piece)
-            if s[i] not in ids and so_far - self.worst < cost[i + 1]:
-                cost[i + 1], last[i + 1] = so_far - self.worst, (i, None)
+                if c < cost[j]:
+                    cost[j], last[j] = c, (i, piece)
         out, j = [], n
         while j:
             i, piece = last[j]
@@ -223,7 +197,7 @@ class Transducer:
                 cuts.append(len(s))
                 found = b"".join([self._word(s[a:b]) for a, b in zip(cuts, cuts[1:])])
             else:
-                found = array("i", self.only_path(s) if self.bpe else self.shortest(s)).tobytes()
+                found = array("i", self.shortest(s)).tobytes()
         if len(self.words) >= CACHE:  # words in use move on to the next generation
             self.older, self.words = self.words, {}
         self.words[s] = found
@@ -269,9 +243,9 @@ def _run(shared, names: list[str]):
 
         fst = compiled(shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                b = batch.slice(k, SLICE)
-                texts = b.column(0).to_pylist()
+            everything = batch.column(0).to_pylist()
+            for lo, hi in slices(everything, SLICE):
+                b, texts = batch.slice(lo, hi - lo), everything[lo:hi]
                 ids = [fst.encode(t) for t in texts]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
