@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_rows, fold, table
+from .shingles import slices
 
 TRAIN_DOCS, STEPS, RATE, PENALTY = 4000, 40, 0.2, 1e-3
 STEMS, CACHE = range(3, 8), 200_000
 EDGES = (-1.0, -0.3, 0.3, 1.0, 1.6, 2.2, 3.0, 4.0, 5.0)  # of odds buckets; bucket 0 is an unknown word
-TOXIC_BOUND, LEAST_DOCS, PREDICT, SLICE = 1.6, 3, 0.3, 512
+TOXIC_BOUND, LEAST_DOCS, PREDICT, SLICE = 1.6, 3, 0.3, 1 << 21
 BUCKETS = len(EDGES) + 2
 WORD = re.compile(r"\w+")
 
@@ -236,11 +237,11 @@ def _run(shared):
         known = Buckets(model.get("lexicon", {}))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                b = batch.slice(k, SLICE)
-                score, spans = score_texts(model, b.column(1).to_pylist(), known)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts, SLICE):
+                score, spans = score_texts(model, texts[lo:hi], known)
                 spans = [[dict(zip(("start", "end", "probability"), x)) for x in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(spans, kind)], names=["__tx_key", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array(spans, kind)], names=["__tx_key", "score", "spans"])
 
     return run
 
