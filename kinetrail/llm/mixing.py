@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 
 MAX_REPETITION, BLOCK_TOKENS, SEED, WAYS, PASSES, SHARPEST = 1.25, 1 << 16, 17, 64, 4, 64.0
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, LANE_BITS = 100_000, 10
 
 
 def source_shares(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -77,34 +77,46 @@ def _small(df: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """Rows of ``docs``, once per epoch they appear in, with mix_tokens, mix_weight, mix_epoch and mix_order."""
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, prefix: str = "mix_") -> DataFrame:
+    """Rows of ``docs``, once per epoch they appear in, with mix_tokens, mix_weight, mix_epoch and mix_order.
+
+    Input columns of such names are replaced; ``prefix`` gives others.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in {f"{prefix}{n}" for n in ("tokens", "weight", "epoch", "order")}]
     ws = Workspace(docs.sparkSession, "mix")
     rows = source_shares(docs, text, source)
     sources = ws.write(rows.groupBy("__mx_src").agg(F.sum("__mx_tokens").alias("__mx_n")), "sources")
     total = sources.agg(F.sum("__mx_n")).first()[0]
     if total is None:
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__mx_tokens").alias("mix_tokens"), F.lit(1.0).alias("mix_weight"), F.lit(0).cast("long").alias("mix_epoch"), F.lit(0).cast("long").alias("mix_order"))
+        return rows.select(*kept, F.col("__mx_tokens").alias(f"{prefix}tokens"), F.lit(1.0).alias(f"{prefix}weight"), F.lit(0).cast("long").alias(f"{prefix}epoch"), F.lit(0).cast("long").alias(f"{prefix}order"))
     a = fit_exponent(sources, total, max_repetition, target_entropy, budget_tokens)
     power = F.pow(F.col("__mx_n") / F.lit(float(total)), F.lit(a))
     norm, least = sources.agg(F.sum(power), F.min(power / F.col("__mx_n"))).first()
     budget = float(budget_tokens) if budget_tokens is not None else norm / least
     wanted = F.greatest(F.round(power / norm * budget), F.when(F.lit(budget_tokens is None), F.col("__mx_n")).otherwise(0)).cast("long")
-    plan = sources.select("__mx_src", "__mx_n", (power / norm).alias("mix_weight"), wanted.alias("__mx_b")).select(
+    plan = sources.select("__mx_src", "__mx_n", (power / norm).alias("__mx_weight"), wanted.alias("__mx_b")).select(
         "__mx_src",
-        "mix_weight",
+        "__mx_weight",
         F.expr("__mx_b div __mx_n").alias("__mx_full"),
         (F.col("__mx_b") % F.col("__mx_n")).alias("__mx_rest"),
         F.ceil(F.col("__mx_n") / F.lit(float(block_tokens))).cast("long").alias("__mx_blocks"),
     )
     rows = rows.join(_small(plan, ws, "plan"), "__mx_src").withColumn("__mx_hash", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__mx_block", F.pmod(F.col("__mx_hash"), F.col("__mx_blocks")))
     first = ["__mx_src", "__mx_block"]
-    taken = Window.partitionBy("__mx_src").orderBy("__mx_place", "__mx_block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = (
+    sized = ws.write(
         rows.groupBy(*first)
         .agg(F.sum("__mx_tokens").alias("__mx_size"), F.first("__mx_full").alias("__mx_f"), F.first("__mx_rest").alias("__mx_r"))
         .withColumn("__mx_place", F.xxhash64(F.lit(seed), F.col("__mx_src"), F.col("__mx_block"), F.col("__mx_f")))
-        .withColumn("__mx_to", F.sum("__mx_size").over(taken))
+        .withColumn("__mx_lane", F.shiftright("__mx_place", 64 - LANE_BITS)),
+        "sized",
+    )
+    # a running sum per source in two steps, so that no task holds a whole source
+    lane = Window.partitionBy("__mx_src").orderBy("__mx_lane").rowsBetween(Window.unboundedPreceding, -1)
+    before = sized.groupBy("__mx_src", "__mx_lane").agg(F.sum("__mx_size").alias("__mx_sum")).withColumn("__mx_before", F.coalesce(F.sum("__mx_sum").over(lane), F.lit(0))).drop("__mx_sum")
+    taken = Window.partitionBy("__mx_src", "__mx_lane").orderBy("__mx_place", "__mx_block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = (
+        sized.join(before, ["__mx_src", "__mx_lane"])
+        .withColumn("__mx_to", F.col("__mx_before") + F.sum("__mx_size").over(taken))
         .select(*first, (F.col("__mx_to") <= F.col("__mx_r")).alias("__mx_in"), (F.col("__mx_r") - F.col("__mx_to") + F.col("__mx_size")).alias("__mx_room"))
     )
     rows = rows.join(_small(blocks, ws, "blocks"), first)
@@ -113,13 +125,13 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     copies = F.col("__mx_full") + F.col("__mx_more").cast("long")
     whole = rows.filter(~border).withColumn("__mx_more", F.col("__mx_in"))
     part = rows.filter(border).withColumn("__mx_more", F.sum("__mx_tokens").over(inside) <= F.col("__mx_room"))
-    out = whole.unionByName(part).filter(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    out = whole.unionByName(part).filter(copies > 0).withColumn("__mx_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("__mx_tokens").alias("mix_tokens"),
-        "mix_weight",
-        "mix_epoch",
-        F.xxhash64(F.lit(seed), F.col("__mx_src"), F.col("__mx_block"), F.col("mix_epoch")).alias("mix_order"),
+        *kept,
+        F.col("__mx_tokens").alias(f"{prefix}tokens"),
+        F.col("__mx_weight").alias(f"{prefix}weight"),
+        F.col("__mx_epoch").alias(f"{prefix}epoch"),
+        F.xxhash64(F.lit(seed), F.col("__mx_src"), F.col("__mx_block"), F.col("__mx_epoch")).alias(f"{prefix}order"),
     )
 
 
