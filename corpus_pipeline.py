@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     weights, languages = language_id.fit(learn)
     if weights is None:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = language_id.identify(docs, weights, languages)
-    kept = found.filter((F.col("lang_pred") != language_id.UND) & (F.col("lang_score") >= language_id.MIN_SCORE))
+    found = language_id.identify(docs, weights, languages, pred="__lang_pred", score="__lang_score")
+    kept = found.filter((F.col("__lang_pred") != language_id.UND) & (F.col("__lang_score") >= language_id.MIN_SCORE))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mix(docs, prefix="__mix_").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

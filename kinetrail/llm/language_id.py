@@ -3,10 +3,13 @@
 The network reads windows of ``WINDOW`` UTF-8 bytes in both directions, labels
 every position with language probabilities, and a document's probabilities are
 the mean over all positions of all its windows: whole texts count. It is trained
-in numpy by backpropagation through time (Adam) on a bounded sample: at most
-``TRAIN_DOCS`` labelled documents, of each up to ``TRAIN_CHARS`` characters and
-``TRAIN_WINDOWS`` windows. The weights are a few thousand numbers and travel with
-the task; inference is numpy over Arrow batches, with no shuffle.
+in numpy by backpropagation through time (Adam) on a bounded sample: of every
+language the documents with the least hash in each of ``PER_LANGUAGE`` hash slots, at
+most ``TRAIN_DOCS`` in all, so rare languages are learned too; of each ``TRAIN_WINDOWS``
+windows, drawn by hash from the whole text. The weights are a few thousand numbers and
+travel with the task; inference is numpy over Arrow batches, with no shuffle. The state
+starts anew in each window: the first and last few bytes of a window are read with
+context on one side only, which the mean over all positions evens out.
 
 Defined results. A text that is null or has no letter is ``und`` with score 0. If
 no labelled row exists, every text is ``und``. Rows are answered one by one, so
@@ -22,10 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, fold, table
+from .common import fold, table
+from .shingles import slices
 
 WINDOW, HIDDEN, EMBED, LANES = 64, 8, 8, 2048
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, STEPS, BATCH, SEED = 3000, 20_000, 4, 300, 128, 7
+TRAIN_DOCS, PER_LANGUAGE, TRAIN_WINDOWS, STEPS, BATCH, SEED, SLICE = 4000, 1000, 4, 300, 128, 7, 1 << 21
 UND, MIN_SCORE = "und", 0.3
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -87,16 +91,15 @@ def loss_and_gradient(w: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -
     return float(loss), grad
 
 
-def train(texts: list[str], labels: list[int], classes: int, steps: int = STEPS, seed: int = SEED) -> dict:
-    """Weights from windows of the labelled texts."""
+def train(windows: list[list[str]], labels: list[int], classes: int, steps: int = STEPS, seed: int = SEED) -> dict:
+    """Weights from windows of labelled texts."""
     rng = np.random.default_rng(seed)
     rows, lengths, y = [], [], []
-    for t, label in zip(texts, labels):
-        raw = np.frombuffer(t.encode()[: 4 * TRAIN_CHARS], np.uint8)
-        for _ in range(TRAIN_WINDOWS):
-            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            size = min(len(raw) - at, WINDOW if rng.random() < 0.6 else int(rng.integers(4, WINDOW + 1)))
-            rows.append(np.pad(raw[at : at + size], (0, WINDOW - size)))
+    for own, label in zip(windows, labels):
+        for t in own:
+            raw = np.frombuffer(t.encode()[:WINDOW], np.uint8)
+            size = len(raw) if rng.random() < 0.6 else min(len(raw), int(rng.integers(4, WINDOW + 1)))
+            rows.append(np.pad(raw[:size], (0, WINDOW - size)))
             lengths.append(size)
             y.append(label)
     x, lengths, y = np.stack(rows), np.array(lengths), np.array(y)
@@ -184,9 +187,9 @@ def _run(w: dict | None, languages: list[str]):
 
         model = Labeller(w) if w is not None else None
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                b = batch.slice(k, 1024)
-                texts = b.column(1).to_pylist()
+            everything = batch.column(1).to_pylist()
+            for lo, hi in slices(everything, SLICE):
+                b, texts = batch.slice(lo, hi - lo), everything[lo:hi]
                 lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
                 found, score = [UND] * len(texts), np.zeros(len(texts))
                 if model is not None and lettered.any():
@@ -202,22 +205,27 @@ def _run(w: dict | None, languages: list[str]):
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[dict | None, list[str]]:
-    """Weights and language names from at most TRAIN_DOCS rows of ``labelled``."""
-    rows = labelled.select(F.col(key).alias("k"), F.substring(F.col(text), 1, TRAIN_CHARS).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
-    sample = [(r["t"], r["l"]) for r in bounded_rows(rows, "k", TRAIN_DOCS) if _LETTER.search(r["t"])]
-    languages = sorted({lang for _, lang in sample})
+    """Weights and language names from a bounded sample of ``labelled``, see above."""
+    t, draw = F.col("t"), F.xxhash64(F.lit(23), "k")
+    places = [F.pmod(F.xxhash64(F.lit(i), "k"), F.greatest(F.length(t) - WINDOW + 1, F.lit(1))).cast("int") + 1 for i in range(TRAIN_WINDOWS)]
+    rows = labelled.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).filter("l is not null").filter(F.coalesce(t.rlike(r"\p{L}"), F.lit(False)))
+    windows = rows.select("l", draw.alias("draw"), F.pmod(draw, F.lit(PER_LANGUAGE)).alias("slot"), F.array(*[F.substring(t, p, F.lit(WINDOW)) for p in places]).alias("w"))
+    least = windows.groupBy("l", "slot").agg(F.min(F.struct("draw", "w")).alias("r"))
+    sample = least.orderBy("slot", "l").limit(TRAIN_DOCS).select("l", "r.w").collect()
+    languages = sorted({r["l"] for r in sample})
     if not sample:
         return None, []
-    return train([t for t, _ in sample], [languages.index(lang) for _, lang in sample], len(languages)), languages
+    return train([r["w"] for r in sample], [languages.index(r["l"]) for r in sample], len(languages)), languages
 
 
-def identify(docs: DataFrame, w: dict | None, languages: list[str], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with lang_pred and lang_score at the end."""
-    names = [f"__li_{i}" for i in range(len(docs.columns))]
-    renamed = docs.select(F.col(f"`{text}`").cast("string").alias("__li_rows"), F.col(f"`{text}`").cast("string").alias("__li_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+def identify(docs: DataFrame, w: dict | None, languages: list[str], text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """The rows of ``docs`` with two columns at the end; columns of such names are replaced."""
+    kept = [f for f in docs.schema.fields if f.name not in (pred, score)]
+    names = [f"__li_{i}" for i in range(len(kept))]
+    renamed = docs.select(F.col(f"`{text}`").cast("string").alias("__li_rows"), F.col(f"`{text}`").cast("string").alias("__li_text"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)])
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept))
     out = renamed.mapInArrow(_run(w, languages), f"{kinds}, lang_pred string, lang_score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], "lang_pred", "lang_score")
+    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept)], F.col("lang_pred").alias(pred), F.col("lang_score").alias(score))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

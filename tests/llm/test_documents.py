@@ -306,7 +306,7 @@ def test_unigram_shortest_path_is_the_best_of_all():
 def test_mixing_meets_weights_and_limits(spark):
     random.seed(9)
     rows = [(i, " ".join(["w"] * random.randint(0, 9)), None, random.choice(["a"] * 6 + ["b", "b", "c", None]), 1) for i in range(600)]
-    frame = docs(spark, rows).withColumnRenamed("lang", "mix_x")
+    frame = docs(spark, rows).withColumnRenamed("lang", "mix_tokens").withColumn("mix_order", F.lit("x"))
     out = mixing.mix(frame, block_tokens=64).collect()
     tokens, emitted, copies = defaultdict(int), defaultdict(int), defaultdict(int)
     for i, t, _, s, _ in rows:
@@ -354,12 +354,26 @@ def test_language_gradient_and_accuracy(spark):
 
 def test_language_edges(spark):
     w, languages = language_id.init_weights(2), ["aa", "bb"]
-    frame = docs(spark, [*EDGES, (9, "123 !!")]).withColumnRenamed("source", "lang_pred2")
+    frame = docs(spark, [*EDGES, (9, "123 !!")]).withColumnRenamed("source", "lang_pred").withColumn("lang_score", F.lit("x"))
     out = {(r["doc_id"], r["text"]): r for r in language_id.identify(frame, w, languages).collect()}
     assert all(out[i, t]["lang_pred"] == "und" and out[i, t]["lang_score"] == 0 for i, t in [(1, None), (2, ""), (3, "  \n"), (9, "123 !!")])
     assert out[7, "x" * 50_000]["lang_pred"] in languages
     assert language_id.fit(frame) == (None, [])
     assert {r["lang_pred"] for r in language_id.identify(frame, None, []).collect()} == {"und"}
+    assert language_id.identify(frame, w, languages, pred="p", score="q").columns == [*frame.columns, "p", "q"]
+
+
+def test_language_learns_from_the_whole_text_and_rare_languages(spark):
+    """Words of the language stand behind 30,000 digits; one language has two rows of 400."""
+    random.seed(3)
+    speak = {"aa": "abacad", "bb": "xyzwvu", "cc": "klmnop"}
+    text = lambda lang: " ".join("".join(random.choice(speak[lang]) for _ in range(5)) for _ in range(60))
+    rows = [(i, "1234567890" * 3000 + text(lang) * 200, lang) for i, lang in enumerate(["aa"] * 40 + ["bb"] * 40)] + [(100 + i, text("aa"), "aa") for i in range(300)] + [(900, text("cc"), "cc"), (901, text("cc"), "cc")]
+    w, languages = language_id.fit(docs(spark, rows))
+    assert languages == ["aa", "bb", "cc"]
+    tried = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb"] * 10)]
+    out = language_id.identify(docs(spark, tried), w, languages).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in out]) >= 0.9
 
 
 def test_windows_do_not_depend_on_batches():

@@ -108,7 +108,7 @@ def test_pipeline_against_plain_python(spark):
 
     three = corpus_pipeline.drop_near_copies(spark, two, sf).cache()
     parts = join_reference([(r["doc_id"], r["text"]) for r in two.collect()])
-    assert sorted(r["doc_id"] for r in three.collect()) == sorted({c for _, c in parts.values()})
+    assert sorted(r["doc_id"] for r in three.collect()) == sorted({c for _, _, c in parts})
     four = corpus_pipeline.mix_sources(spark, three, sf)
     assert four.columns == docs.columns and {r["doc_id"] for r in four.collect()} == {r["doc_id"] for r in three.collect()}
     five = corpus_pipeline.run(spark, sf).collect()
