@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, table
-from .shingles import slices
+from .shingles import column_slices
 
 WINDOW, HIDDEN, EMBED, LANES = 64, 8, 8, 2048
 TRAIN_DOCS, PER_LANGUAGE, TRAIN_WINDOWS, STEPS, BATCH, SEED, SLICE = 4000, 1000, 4, 300, 128, 7, 1 << 21
@@ -187,9 +187,8 @@ def _run(w: dict | None, languages: list[str]):
 
         model = Labeller(w) if w is not None else None
         for batch in batches:
-            everything = batch.column(1).to_pylist()
-            for lo, hi in slices(everything, SLICE):
-                b, texts = batch.slice(lo, hi - lo), everything[lo:hi]
+            for lo, hi, own in column_slices(batch.column(1), SLICE):
+                b, texts = batch.slice(lo, hi - lo), [None if x is None else x.decode() for x in own]
                 lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
                 found, score = [UND] * len(texts), np.zeros(len(texts))
                 if model is not None and lettered.any():

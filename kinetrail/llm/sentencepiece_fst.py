@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import slices
+from .shingles import column_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, CACHE, PAIRS, SLICE = "▁", 400_000, 1_000_000, 1 << 20
+BLANK, CACHE, PAIRS, SLICE = "▁", 200_000, 500_000, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 INFINITE = float("inf")
 
@@ -243,9 +243,8 @@ def _run(shared, names: list[str]):
 
         fst = compiled(shared.value)
         for batch in batches:
-            everything = batch.column(0).to_pylist()
-            for lo, hi in slices(everything, SLICE):
-                b, texts = batch.slice(lo, hi - lo), everything[lo:hi]
+            for lo, hi, raw in column_slices(batch.column(0), SLICE):
+                b, texts = batch.slice(lo, hi - lo), [None if x is None else x.decode() for x in raw]
                 ids = [fst.encode(t) for t in texts]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

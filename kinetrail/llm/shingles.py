@@ -29,6 +29,23 @@ def slices(texts: list[bytes | None], limit: int = SLICE_BYTES):
         yield first, len(texts)
 
 
+def column_slices(column, limit: int = SLICE_BYTES):
+    """(first, end, texts as bytes) of an Arrow column, about ``limit`` bytes at a time.
+
+    Only one slice becomes Python objects, however large the batch is.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    raw = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi, raw.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def shingle_hashes(texts: list[bytes | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every shingle in order of place, repeats included."""
     raw = b" ".join([t or b"" for t in texts]) + b" "

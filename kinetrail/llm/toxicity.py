@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_rows, fold, table
-from .shingles import slices
+from .shingles import column_slices
 
 TRAIN_DOCS, STEPS, RATE, PENALTY = 4000, 40, 0.2, 1e-3
 STEMS, CACHE = range(3, 8), 200_000
@@ -237,9 +237,8 @@ def _run(shared):
         known = Buckets(model.get("lexicon", {}))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts, SLICE):
-                score, spans = score_texts(model, texts[lo:hi], known)
+            for lo, hi, raw in column_slices(batch.column(1), SLICE):
+                score, spans = score_texts(model, [None if x is None else x.decode() for x in raw], known)
                 spans = [[dict(zip(("start", "end", "probability"), x)) for x in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array(spans, kind)], names=["__tx_key", "score", "spans"])
 
