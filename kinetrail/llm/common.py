@@ -83,3 +83,24 @@ def bounded_rows(rows: DataFrame, key: str, n: int) -> list:
     ids = rows.select(key).groupBy(key).agg(F.lit(1)).select(key).orderBy(F.xxhash64(F.lit(23), F.col(key)), key).limit(n)
     rest = [c for c in rows.columns if c != key]
     return rows.join(F.broadcast(ids), key).groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select("r.*").collect()
+
+
+def tidy(run):
+    """``run`` for mapInArrow, which gives freed memory back when its partition is done.
+
+    Spark keeps Python workers for the next stage; what their allocators hold counts
+    against the executor all the while.
+    """
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, table, tidy
 from .shingles import column_slices
 
 WINDOW, HIDDEN, EMBED, LANES = 64, 8, 8, 2048
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, w: dict | None, languages: list[str], text: str =
     names = [f"__li_{i}" for i in range(len(kept))]
     renamed = docs.select(F.col(f"`{text}`").cast("string").alias("__li_rows"), F.col(f"`{text}`").cast("string").alias("__li_text"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)])
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept))
-    out = renamed.mapInArrow(_run(w, languages), f"{kinds}, lang_pred string, lang_score double")
+    out = renamed.mapInArrow(tidy(_run(w, languages)), f"{kinds}, lang_pred string, lang_score double")
     return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept)], F.col("lang_pred").alias(pred), F.col("lang_score").alias(score))
 
 

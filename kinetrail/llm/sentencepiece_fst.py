@@ -37,11 +37,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .shingles import column_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, CACHE, PAIRS, SLICE = "▁", 200_000, 500_000, 1 << 20
+BLANK, CACHE, PAIRS, SLICE = "▁", 150_000, 300_000, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 INFINITE = float("inf")
 
@@ -95,6 +95,7 @@ class Transducer:
         pieces = model["pieces"]
         self.bpe, self.prefix = model["bpe"], model["prefix"]
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
+        self.own = {p: p for p in self.ids}
         self.scores = [s for _, s, _ in pieces]
         self.starts = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids  # states of the acceptor; -1: not final
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
@@ -134,7 +135,7 @@ class Transducer:
             self.pairs.clear()
             self.known_pairs = 0
         self.known_pairs += 1
-        self.pairs.setdefault(before, {})[piece] = found
+        self.pairs.setdefault(before, {})[self.own[piece]] = found  # the piece's one string, not a copy
         return found
 
     def arcs(self, s: str, i: int) -> list[tuple[int, str | None]]:
@@ -266,7 +267,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("__sp_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner)])
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, inner))
     names = [*inner, "ids", "n_tokens", "round_trip"]
-    out = rows.mapInArrow(_run(shared, names), f"{kinds}, ids array<int>, n_tokens long, round_trip boolean")
+    out = rows.mapInArrow(tidy(_run(shared, names)), f"{kinds}, ids array<int>, n_tokens long, round_trip boolean")
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, inner)], "ids", "n_tokens", "round_trip")
 
 
