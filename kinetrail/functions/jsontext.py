@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,11 +24,18 @@ def outer_object(x: Column) -> Column:
 
 
 def field(x: Column, key: str) -> Column:
-    """A field of the outer object, else what follows the quoted key; null if absent."""
-    quoted = F.regexp_extract(x, rf'(?s)"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
-    bare = F.regexp_extract(x, rf'"{key}"\s*:\s*([^,}}\s"]+)', 1)
-    empty = F.lit("")
-    return F.coalesce(F.get_json_object(outer_object(x), f"$.{key}"), F.nullif(quoted, empty), F.nullif(bare, empty))
+    """A field of the outer object if that parses, else what stands after the quoted key.
+
+    A quoted value may hold quotes and line ends: it goes on to the quote before the next
+    quoted key, the closing brace, a nested object on a new line or the end. Blanks of such a
+    value are collapsed. Null if the key is absent or its value is empty.
+    """
+    whole, empty = F.from_json(outer_object(x), "map<string,string>", {"mode": "PERMISSIVE"}), F.lit("")
+    name = re.escape(key)
+    quoted = F.regexp_extract(x, rf'(?s)"{name}"\s*:\s*"(.*?)(?:"\s*,\s*"[^"\n]+"\s*:|"\s*,?\s*\}}|\n\s*\{{\s*"[^"\n]+"\s*:|"?\s*$)', 1)
+    bare = F.regexp_extract(x, rf'"{name}"\s*:\s*([^,}}\s"]+)', 1)
+    salvaged = F.coalesce(F.nullif(F.trim(F.regexp_replace(quoted, r"\s+", " ")), empty), F.nullif(bare, empty))
+    return F.when(whole.isNotNull(), whole[key]).otherwise(salvaged)
 
 
 def flat_yaml(x: Column) -> Column:

@@ -61,3 +61,11 @@ def keep_last_n(df: DataFrame, index: str, capacity: int) -> DataFrame:
 def range_union(events, low, high):
     """Sorted distinct event frames with an inclusive range added, given in either order."""
     return F.array_sort(F.array_distinct(F.concat(events, F.sequence(F.least(low, high), F.greatest(low, high)))))
+
+
+def strict_lookup(df: DataFrame, lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """``df`` with the looked-up ``value``; a key that the lookup lacks, null included, is an error."""
+    found = df.join(lookup.select(F.col(key), F.col(value), F.lit(True).alias("__known")), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"{key} without entry in the lookup: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    kept = F.when(F.col("__known"), F.col(value)).otherwise(missing.cast(lookup.schema[value].dataType))
+    return found.withColumn(value, kept).drop("__known")

@@ -18,19 +18,21 @@ def vector_stats(df: DataFrame, by: list[str], vector: str) -> DataFrame:
 
 
 def merge_stats(stats: DataFrame, by: list[str]) -> DataFrame:
-    """Statistics of the union from stored parts (parallel variance), in two passes over them."""
-    n = F.sum("count")
-    part = stats.groupBy(*by).agg(F.min("min").alias("min"), F.max("max").alias("max"), (F.sum(F.col("mean") * F.col("count")) / n).alias("mean"), n.alias("count"), F.collect_list(F.struct("mean", "std", "count")).alias("parts"))
-    spread = F.aggregate("parts", F.lit(0.0), lambda a, p: a + (p["std"] * p["std"] + F.pow(p["mean"] - F.col("mean"), F.lit(2.0))) * p["count"])
-    return part.withColumn("std", F.sqrt(spread / F.col("count"))).drop("parts")
+    """Statistics of the union from stored parts (parallel variance).
+
+    Two grouped sums, the second around the merged mean, so nothing is collected and no
+    digits are lost where the mean is large against the spread.
+    """
+    n = F.col("count")
+    means = stats.groupBy(*by).agg((F.sum(F.col("mean") * n) / F.sum(n)).alias("__m")).select(*[F.col(c).alias(f"__{c}") for c in by], "__m")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    parts = stats.join(means, same) if by else stats.crossJoin(means)  # one row of totals
+    spread = F.sum((F.col("std") * F.col("std") + F.pow(F.col("mean") - F.col("__m"), F.lit(2.0))) * n)
+    total = F.sum(n)
+    return parts.groupBy(*by).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.first("__m").alias("mean"), F.sqrt(spread / total).alias("std"), total.alias("count"))
 
 
-def merge_stats_wide(stats: DataFrame, by: list[str]) -> DataFrame:
-    """As ``merge_stats`` for any number of parts: only sums are held per group."""
-    m, n = F.col("mean"), F.col("count")
-    sums = stats.groupBy(*by).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum(m * n).alias("s"), F.sum((F.col("std") * F.col("std") + m * m) * n).alias("q"), F.sum(n).alias("count"))
-    mean = F.col("s") / F.col("count")
-    return sums.select(*by, "min", "max", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("count") - mean * mean)).alias("std"), "count")
+merge_stats_wide = merge_stats
 
 
 def square_sum_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -88,16 +90,24 @@ def decayed_mean(df: DataFrame, by: str, order: str, value: Column, m: float) ->
 def advantages(df: DataFrame, episode: str, order: str, reward: Column, value: Column, gamma: float, lam: float) -> DataFrame:
     """Backward scan A_t = d_t + gamma lam A_{t+1} per episode, with returns A + V.
 
-    The episode's steps are folded from its end inside one array: its length is
-    bounded by the episode.
+    A recurrence has no built-in window; each episode's three numbers a step go through one
+    pass of a grouped function. Null rewards or values make the earlier steps null.
     """
-    step = F.struct(F.col(order).alias("t"), reward.cast("double").alias("r"), value.cast("double").alias("v"))
-    rows = df.groupBy(episode).agg(F.reverse(F.array_sort(F.collect_list(step))).alias("s"))
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"), F.expr("cast(array() as array<struct<t:int,a:double,ret:double>>)").alias("out"))
+    rows = df.select(F.col(episode), F.col(order), reward.cast("double").alias("__r"), value.cast("double").alias("__v"))
+
+    def scan(pdf):
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        a = after = 0.0
+        out = []
+        for r, v in zip(reversed(pdf["__r"].tolist()), reversed(pdf["__v"].tolist())):
+            a, after = r + gamma * after - v + gamma * lam * a, v
+            out.append(a)
+        pdf["advantage"] = out[::-1]
+        pdf["ret"] = pdf["advantage"] + pdf["__v"]
+        return pdf.drop(columns=["__r", "__v"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (episode, order))
+    done = rows.groupBy(episode).applyInPandas(scan, f"{kinds}, advantage double, ret double")
+    return done.select(episode, F.col(order).cast("int").alias(order), *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("advantage", "ret")])
 
-    def fold(acc, s):
-        a = s["r"] + F.lit(gamma) * acc["v"] - s["v"] + F.lit(gamma * lam) * acc["a"]
-        return F.struct(a.alias("a"), s["v"].alias("v"), F.concat(acc["out"], F.array(F.struct(s["t"].cast("int").alias("t"), a.alias("a"), (a + s["v"]).alias("ret")))).alias("out"))
 
-    done = rows.select(episode, F.explode(F.aggregate("s", zero, fold, lambda acc: acc["out"])).alias("x"))
-    return done.select(episode, F.col("x.t").alias(order), F.col("x.a").alias("advantage"), F.col("x.ret").alias("ret"))

@@ -58,15 +58,16 @@ def horizon_chunk(df: DataFrame, episode: str, value: str, horizon: int, frame:
 def nearest(queries: DataFrame, rows: DataFrame, episode: str, at: str, value: str, key: str, tolerance: float) -> DataFrame:
     """As-of match, nearest either way, inside the episode; ties go to the earlier row.
 
-    One sort of the union and two windows; no pair of rows is ever formed.
+    Two running windows over the union, one in rising and one in falling order of time;
+    each row enters each window once and no pair of rows is ever formed.
     queries (episode, q, at), rows (episode, at, value); key is the query's id.
     """
     both = queries.select(episode, key, F.col(at).alias("__t"), F.lit(None).cast("struct<t:double,v:double>").alias("__r")).unionByName(
         rows.select(episode, F.lit(None).cast(queries.schema[key].dataType).alias(key), F.col(at).alias("__t"), F.struct(F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("v")).alias("__r"))
     )
-    by = Window.partitionBy(episode).orderBy("__t")
-    before = F.last("__r", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__r", ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    by, upto = Window.partitionBy(episode), (Window.unboundedPreceding, Window.currentRow)
+    before = F.last("__r", ignorenulls=True).over(by.orderBy("__t").rangeBetween(*upto))
+    after = F.last("__r", ignorenulls=True).over(by.orderBy(F.col("__t").desc()).rangeBetween(*upto))
     found = both.withColumn("__b", before).withColumn("__a", after).filter(F.col(key).isNotNull())
     left, right = F.col("__t") - F.col("__b.t"), F.col("__a.t") - F.col("__t")
     pick = F.when(F.col("__a").isNull() | (left <= right), F.col("__b")).otherwise(F.col("__a"))

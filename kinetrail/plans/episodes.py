@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import merge as M
 from ..operators import stats as S
 from ..operators import timeseries as T
 from .base import FR, event_frames, query, r6, read
@@ -15,7 +16,7 @@ from .base import FR, event_frames, query, r6, read
 def task_lookup(spark, d):
     events = read(spark, d, "events").select("event_id", "event_type")
     tasks = S.dictionary(events, "event_type", "event_id").select("event_type", F.col("code").cast("long").alias("task_index"))
-    return events.join(tasks, "event_type").select("event_id", "task_index", F.col("event_type").alias("task"))
+    return M.strict_lookup(events, tasks, "event_type", "task_index").select("event_id", "task_index", F.col("event_type").alias("task"))
 
 
 @query("lookup_with_defaults", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), nullif(d.lang, ''), 'unknown task') AS task FROM documents d LEFT JOIN labels l USING (doc_id)")

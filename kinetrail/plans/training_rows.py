@@ -91,7 +91,7 @@ def transition_frame(spark, d):
     return e.select("user_id", R.transition_frame(F.col("l")).alias("frame"))
 
 
-@query("event_frame_precedence", f"WITH {FR}, e AS (SELECT user_id, coalesce(list(frame_index ORDER BY frame_index) FILTER (event_type = 'purchase'), []) AS a, coalesce(list(frame_index ORDER BY frame_index) FILTER (event_type = 'signup'), []) AS b, min(frame_index) FILTER (event_type = 'error') AS c FROM fr WHERE frame_index < 4 GROUP BY 1) SELECT user_id, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b WHEN c IS NOT NULL THEN [c] END AS events FROM e")
+@query("event_frame_precedence", f"WITH {FR}, e AS (SELECT user_id, coalesce(list(frame_index ORDER BY frame_index) FILTER (event_type = 'purchase'), []) AS a, coalesce(list(frame_index ORDER BY frame_index) FILTER (event_type = 'signup'), []) AS b, min(frame_index) FILTER (event_type = 'error') AS c FROM fr GROUP BY 1) SELECT user_id, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b WHEN c IS NOT NULL THEN [c] END AS events FROM e")
 def precedence(spark, d):
     fr = event_frames(spark, d, "event_type")
     of = lambda t: F.collect_list(F.when(F.col("event_type") == t, F.col("frame_index")))
@@ -156,7 +156,10 @@ def line_filters(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(X.lines(F.col("text"))).alias("n_lines"), F.md5(X.drop_lines(F.col("text"), ["Licensed"])).alias("kept"))
 
 
-@query("big_numbers", "SELECT doc_id, CASE WHEN n_chars < 1000 THEN format('{:d}', n_chars) ELSE printf('%.0fK', n_chars / 1000.0) END AS human FROM documents WHERE n_chars % 1000 <> 500")
+STEPS = " ".join(f"WHEN abs(n_chars) < 1e{3 * i + 3} THEN round_even(n_chars / 1e{3 * i}, 0)::BIGINT || '{x}'" for i, x in enumerate(["", "K", "M", "B"]))
+
+
+@query("big_numbers", f"SELECT doc_id, CASE {STEPS} END AS human FROM documents")
 def big_numbers(spark, d):
     return read(spark, d, "documents").select("doc_id", X.big_number(F.col("n_chars")).alias("human"))
 
@@ -202,10 +205,13 @@ def json_status(spark, d):
     return read(spark, d, "events").select("event_id", J.outer_object(F.concat(F.lit("note "), "props", F.lit(" end"))).alias("o")).select("event_id", F.get_json_object("o", "$.k").cast("int").alias("k"))
 
 
-@query("json_salvage", r"SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS k FROM events")
+@query("json_salvage", """SELECT event_id, 'he said "' || (props->>'$.k') || '" now' AS note, 'NOT "' || event_type || '"' AS status, props->>'$.k' AS k FROM events""")
 def salvage(spark, d):
-    broken = F.replace(F.replace("props", F.lit('"'), F.lit("“")), F.lit("}"), F.lit(",}"))
-    return read(spark, d, "events").select("event_id", J.field(J.clean(broken), "k").alias("k"))
+    """Quotes inside values, curly quotes around keys, a line break in a value, a comma too many."""
+    k = F.get_json_object("props", "$.k")
+    reply = F.concat(F.lit('Sure: {“note”: "he said\n"'), k, F.lit('" now", "status": "NOT "'), F.col("event_type"), F.lit('"", "k": '), k, F.lit(",}"))
+    text = J.clean(reply)
+    return read(spark, d, "events").select("event_id", *[J.field(text, n).alias(n) for n in ("note", "status", "k")])
 
 
 @query("flat_yaml", "SELECT event_id, event_type AS command, CAST(user_id AS VARCHAR) AS progress, true AS complete FROM events")

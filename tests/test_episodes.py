@@ -209,3 +209,47 @@ def test_memory_rows(spark):
 def test_layout(spark):
     r = one(spark, layout.data_path(F.lit(123), 50).alias("a"), layout.episode_of(F.lit("data/chunk-002/episode_000123.parquet")).alias("b"), layout.episode_of(F.lit("x")).alias("c"))
     assert list(r) == ["data/chunk-002/episode_000123.parquet", 123, None]
+
+
+def test_salvaged_fields_keep_quotes(spark):
+    want = {
+        '{"a": "he said "go" now"}': ('he said "go" now', None),
+        '{"status": "NOT "DONE""}': (None, 'NOT "DONE"'),
+        '{"a": "x", "status": "y"}': ("x", "y"),
+        '{"a": "one\n "two" ", "status": "DONE", }': ('one "two"', "DONE"),
+        '{"a": "un"closed': ('un"closed', None),
+        '{"a": 1, "status": {"deep": 2}}': ("1", '{"deep":2}'),
+        "nothing": (None, None),
+        '{"a" "x", "status": ""}': (None, None),
+    }
+    frame = spark.createDataFrame([(t,) for t in want] + [(None,)], "t string")
+    got = frame.select("t", *[J.field(J.clean(F.col("t")), k).alias(k) for k in ("a", "status")]).collect()
+    assert {r["t"]: (r["a"], r["status"]) for r in got} == {**want, None: (None, None)}
+
+
+def test_strict_lookup_is_loud(spark):
+    tasks = spark.createDataFrame([(0, "a"), (1, None)], "k long, v string")
+    assert [tuple(r) for r in M.strict_lookup(spark.range(2).withColumnRenamed("id", "k"), tasks, "k", "v").orderBy("k").collect()] == [(0, "a"), (1, None)]
+    with pytest.raises(Exception, match="without entry in the lookup: 2"):
+        M.strict_lookup(spark.range(3).withColumnRenamed("id", "k"), tasks, "k", "v").collect()
+
+
+def test_merged_statistics_keep_their_digits(spark):
+    """Exact parts {0, 2} and {1, 3} above 1e9, so that only the merge can lose digits."""
+    parts = [(g, 1e9 + x, 1e9 + x + 2, 1e9 + x + 1, 1.0, 2) for g in ("a", None) for x in (0.0, 1.0)]
+    frame = spark.createDataFrame(parts, "g string, min double, max double, mean double, std double, count long")
+    for by, count in ((["g"], 4), ([], 8)):
+        out = S.merge_stats(frame, by).collect()
+        assert len(out) == (2 if by else 1)
+        for r in out:
+            assert r["std"] == pytest.approx(1.25**0.5, rel=1e-9) and (r["count"], r["mean"], r["min"], r["max"]) == (count, 1e9 + 1.5, 1e9, 1e9 + 3)
+
+
+def test_one_long_episode_takes_linear_plans(spark):
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).alias("e"), F.col("id").cast("double").alias("at"), F.col("id").cast("double").alias("v"), F.col("id").alias("k"))
+    asked = spark.range(n).select(F.lit(1).alias("e"), F.col("id").alias("q"), (F.col("id") + 0.25).alias("at"))
+    found = T.nearest(asked, rows, "e", "at", "v", "q", 1.0)
+    assert found.filter("matched_at = q and not is_pad").count() == n
+    out = S.advantages(rows, "e", "k", F.lit(1.0), F.lit(0.0), 0.5, 1.0)
+    assert out.count() == n and out.filter(F.abs(F.col("advantage") - 2.0) < 1e-9).count() > n - 60
