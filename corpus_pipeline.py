@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_fst.encode(docs).drop("text")
+    return sentencepiece_fst.encode(docs, keep_text=False)
 
 
 STAGES = [

@@ -181,13 +181,15 @@ class Labeller:
         return sums / np.maximum(sizes, 1)[:, None]
 
 
-def _run(w: dict | None, languages: list[str]):
+def _run(w: dict | None, languages: list[str], kept: list[int]):
+    """The text is the first column; the columns ``kept`` go on."""
+
     def run(batches):
         import pyarrow as pa
 
         model = Labeller(w) if w is not None else None
         for batch in batches:
-            for lo, hi, own in column_slices(batch.column(1), SLICE):
+            for lo, hi, own in column_slices(batch.column(0), SLICE):
                 b, texts = batch.slice(lo, hi - lo), [None if x is None else x.decode() for x in own]
                 lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
                 found, score = [UND] * len(texts), np.zeros(len(texts))
@@ -198,7 +200,7 @@ def _run(w: dict | None, languages: list[str]):
                     best = p.argmax(1)
                     for i, c, q in zip(np.flatnonzero(lettered), best, p):
                         found[i], score[i] = languages[c], min(1.0, max(0.0, float(q[c])))
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(found, pa.string()), pa.array(score)], names=[*b.schema.names[2:], "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(found, pa.string()), pa.array(score)], names=[*[f"__li_{i}" for i in range(len(kept))], "lang_pred", "lang_score"])
 
     return run
 
@@ -217,13 +219,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return train([r["w"] for r in sample], [languages.index(r["l"]) for r in sample], len(languages)), languages
 
 
-def identify(docs: DataFrame, w: dict | None, languages: list[str], text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """The rows of ``docs`` with two columns at the end; columns of such names are replaced."""
-    kept = [f for f in docs.schema.fields if f.name not in (pred, score)]
+def identify(docs: DataFrame, w: dict | None, languages: list[str], text: str = "text", pred: str = "lang_pred", score: str = "lang_score", keep_text: bool = True) -> DataFrame:
+    """The rows of ``docs`` with two columns at the end; columns of such names are replaced.
+
+    The text goes to the workers once, and comes back only with ``keep_text``.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in (pred, score) and (keep_text or f.name != text)]
     names = [f"__li_{i}" for i in range(len(kept))]
-    renamed = docs.select(F.col(f"`{text}`").cast("string").alias("__li_rows"), F.col(f"`{text}`").cast("string").alias("__li_text"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)])
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept))
-    out = renamed.mapInArrow(tidy(_run(w, languages)), f"{kinds}, lang_pred string, lang_score double")
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("__li_text"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names) if f.name != text])
+    place = {n: i for i, n in enumerate(rows.columns)}
+    places = [0 if f.name == text else place[n] for f, n in zip(kept, names)]
+    kinds = "".join(f"{n} {'string' if f.name == text else f.dataType.simpleString()}, " for n, f in zip(names, kept))
+    out = rows.mapInArrow(tidy(_run(w, languages, places)), f"{kinds}lang_pred string, lang_score double")
     return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept)], F.col("lang_pred").alias(pred), F.col("lang_score").alias(score))
 
 
@@ -231,5 +238,5 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold("doc_id", 3) == 1
     w, languages = fit(docs.filter(~F.coalesce(held, F.lit(True))))
-    found = identify(docs.select("doc_id", "text"), w, languages)
+    found = identify(docs.select("doc_id", "text"), w, languages, keep_text=False)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

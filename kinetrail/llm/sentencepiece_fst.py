@@ -238,37 +238,42 @@ _INPUT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _LINE = re.compile("(\n)")
 
 
-def _run(shared, names: list[str]):
+def _run(shared, at: int, kept: list[int], names: list[str]):
+    """The text is column ``at``; the columns ``kept`` go on."""
+
     def run(batches):
         import pyarrow as pa
 
         fst = compiled(shared.value)
         for batch in batches:
-            for lo, hi, raw in column_slices(batch.column(0), SLICE):
+            for lo, hi, raw in column_slices(batch.column(at), SLICE):
                 b, texts = batch.slice(lo, hi - lo), [None if x is None else x.decode() for x in raw]
                 ids = [fst.encode(t) for t in texts]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 back = [(t or "").replace(BLANK, " ") == fst.decode(x.tolist()) for t, x in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(sizes), pa.array(back)], names=names)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(sizes), pa.array(back)], names=names)
 
     return run
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep_text: bool = True) -> DataFrame:
     """The rows of ``docs`` with ids array<int>, n_tokens long and round_trip boolean.
 
-    The model's pieces are broadcast: their number is the vocabulary's size.
+    The model's pieces are broadcast: their number is the vocabulary's size. The text goes to
+    the workers once, and comes back only with ``keep_text``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
+    added = ("ids", "n_tokens", "round_trip")
+    kept = [c for c in docs.columns if c not in added and (keep_text or c != text)]
     inner = [f"__sp_{i}" for i in range(len(kept))]
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("__sp_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner)])
-    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, inner))
-    names = [*inner, "ids", "n_tokens", "round_trip"]
-    out = rows.mapInArrow(tidy(_run(shared, names)), f"{kinds}, ids array<int>, n_tokens long, round_trip boolean")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, inner)], "ids", "n_tokens", "round_trip")
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("__sp_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner) if c != text])
+    place = {n: i for i, n in enumerate(rows.columns)}
+    places = [0 if c == text else place[n] for c, n in zip(kept, inner)]
+    kinds = ", ".join(f"{n} {'string' if c == text else docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, inner))
+    out = rows.mapInArrow(tidy(_run(shared, 0, places, [*inner, *added])), f"{kinds}{', ' if kinds else ''}ids array<int>, n_tokens long, round_trip boolean")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, inner)], *added)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -289,4 +294,4 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
