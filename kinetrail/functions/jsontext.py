@@ -92,3 +92,15 @@ def unflatten(df: DataFrame, sep: str = "/") -> DataFrame:
         return F.col(f"`{node}`").alias(name) if isinstance(node, str) else F.struct(*[build(k, v) for k, v in node.items()]).alias(name)
 
     return df.select(*[build(k, v) for k, v in tree.items()])
+
+
+def missing_keys(parsed: Column, required: list[str]) -> Column:
+    """Required keys that a parsed map lacks, in the given order; all of them for a null map."""
+    have = F.coalesce(F.map_keys(parsed), F.expr("cast(array() as array<string>)"))
+    return F.filter(F.array(*[F.lit(k) for k in required]), lambda k: ~F.array_contains(have, k))
+
+
+def required_text(x: Column, what: str) -> Column:
+    """The text itself; null, empty or blank is an error that names what is empty."""
+    blank = F.coalesce(F.trim(x) == "", F.lit(True))
+    return F.when(blank, F.raise_error(F.lit(f"{what} is empty")).cast("string")).otherwise(x)

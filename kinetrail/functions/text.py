@@ -97,3 +97,49 @@ def row_identifier(uid: Column, chunk: Column, episode: Column, ts: Column) -> C
 def hashed_uid(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-1 of the parts joined by ``::``."""
     return F.substring(F.sha1(F.concat_ws("::", *[p.cast("string") for p in parts]).cast("binary")), 1, 16)
+
+
+def strip_text(x: Column) -> Column:
+    """Without blanks and line ends at both ends; null becomes empty."""
+    return F.coalesce(F.regexp_replace(x.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def number_bool(x: Column) -> Column:
+    """A number other than 0 is true; null stays null."""
+    return x.cast("double") != 0
+
+
+def strip_wrapping(x: Column, prefix: str, suffix: str) -> Column:
+    """Without one prefix and one suffix, each only where it stands."""
+    head = F.when(F.startswith(x, F.lit(prefix)), F.substring(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(x)
+    return F.when(F.endswith(head, F.lit(suffix)), F.substring(head, F.lit(1), F.length(head) - len(suffix))).otherwise(head)
+
+
+def weight_spec(x: Column) -> Column:
+    """``a=1, b=0.5`` as map<string,double>; the last value of a key wins, a part without ``=`` is an error."""
+
+    def put(done, part):
+        raw = F.substring_index(part, "=", 1)
+        key = F.when(F.contains(part, F.lit("=")), F.trim(raw)).otherwise(F.raise_error(F.concat(F.lit("bad weight: "), part)).cast("string"))
+        value = F.trim(F.substring(part, F.length(raw) + 2, F.length(part))).cast("double")
+        return F.map_concat(F.map_filter(done, lambda k, v: k != key), F.create_map(key, value))
+
+    return F.aggregate(csv_list(F.coalesce(x, F.lit(""))), F.expr("cast(map() as map<string,double>)"), put)
+
+
+def int_ranges(x: Column) -> Column:
+    """``3, 35:41, 50-48`` as sorted distinct numbers; ranges are inclusive, in either order; else an error."""
+
+    def expand(part):
+        good = F.regexp_like(part, F.lit(r"^\d+(\s*[:-]\s*\d+)?$"))
+        ends = F.transform(F.split(part, r"\s*[:-]\s*"), lambda e: e.try_cast("long"))
+        span = F.sequence(F.array_min(ends), F.array_max(ends))
+        return F.when(good, span).otherwise(F.raise_error(F.concat(F.lit("bad number or range: "), part)).cast("array<bigint>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(csv_list(F.coalesce(x, F.lit(""))), expand))))
+
+
+def user_text(x: Column, dropped: list[str], header: Column | None = None) -> Column:
+    """Text without the lines of the dropped prefixes, under an optional header."""
+    body = strip_text(drop_lines(x, dropped))
+    return body if header is None else strip_text(F.concat(header, F.lit("\n\n"), body))

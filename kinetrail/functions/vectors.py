@@ -64,3 +64,9 @@ def systematic_indices(n: Column, k: Column) -> Column:
     """round(linspace(0, n - 1, k)), half-even; repeats possible."""
     step = F.when(k > 1, (n - 1).cast("double") / (k - 1)).otherwise(F.lit(0.0))
     return F.transform(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), lambda i: F.rint(i * step).cast("long"))
+
+
+def mask_prefix(hay: Column, needle: Column, value: int = -100) -> Column:
+    """Ids with all up to the end of the last ``needle`` masked; without it all are masked."""
+    at = last_subsequence(hay, needle)
+    return F.transform(hay, lambda x, i: F.when(at.isNotNull() & (at >= 0) & (i >= at + F.size(needle)), x).otherwise(F.lit(value).cast("long")))

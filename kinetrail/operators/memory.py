@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed_uid
+from .sampling import hash_rank, negatives, split_episodes
 
 
 def explode_spec(specs: DataFrame) -> DataFrame:
@@ -64,3 +65,52 @@ def gated(episodes: DataFrame) -> DataFrame:
     """Episodes with frames, whose clamped frame count and event are consistent."""
     n = F.greatest(F.lit(1), F.least(F.coalesce("meta_frames", "camera_frames"), F.col("camera_frames")))
     return episodes.filter("camera_frames > 0").withColumn("n_frames", n).withColumn("event", F.greatest(F.lit(0), F.least(F.col("event"), F.col("n_frames") - 1))).filter("event is not null")
+
+
+def transition_updates(episodes: DataFrame, spec: DataFrame, on: str) -> DataFrame:
+    """One ``update_transition`` per episode that state (1, 0) takes: from the last state of row 0, at the third event frame.
+
+    ``episodes`` has ``event_frames``; episodes without one give no row.
+    """
+    last = spec.filter("inter = 0 and step = n_steps - 1").select("task_id", F.col("command").alias("command_from"))
+    to = spec.filter("inter = 1 and step = 0").select("task_id", on, "inter", "step", F.col("command").alias("command_to"))
+    got = episodes.filter(F.size("event_frames") > 0).join(to.join(last, "task_id"), on)
+    return got.withColumn("frame_index", transition_frame(F.col("event_frames"))).withColumn("label", F.lit("update_transition"))
+
+
+def event_rows(frames: DataFrame, episodes: DataFrame, episode: str, gap: int, n: int, seed: int = 0) -> DataFrame:
+    """Sampled negatives before the first event frame, and that frame as the positive.
+
+    ``episodes`` has ``event_frames`` and ``n_frames``; a first event outside 0 .. n_frames - 1
+    or none drops the episode. A negative frame number counts as the first event, so it drops too.
+    """
+    first = episodes.select(episode, F.array_min("event_frames").alias("event_t"), "n_frames").filter("event_t >= 0 and event_t < n_frames")
+    got = frames.join(first, episode)
+    return negatives(got, episode, "event_t", gap, n, seed=seed).withColumn("positive", F.lit(False)).unionByName(got.filter("frame_index = event_t").withColumn("positive", F.lit(True)))
+
+
+def build(frames: DataFrame, spec: DataFrame, is_event, episode: str, on: str, ratio: float, shard: int, seed: int = 0) -> DataFrame:
+    """All rows of the tasks: DETECT and UPDATE with uid, episode split and shard.
+
+    DETECT: a row per frame and non-final state. UPDATE: a row per event frame and state
+    change inside a row, and the transition row of each episode. Shards of ``shard`` rows per
+    (mode, split) hold a seeded shuffle, so that no shard is one task's run.
+    """
+    keep = ["task_id", episode, "inter", "step", "frame_index", "label"]
+    detect = detect_rows(frames, spec, episode, is_event, on).select(*keep).withColumn("mode", F.lit("DETECT"))
+    events = frames.filter(is_event)
+    inner = transitions(spec).filter("kind = 'intra'").join(spec.select("task_id", on).distinct(), "task_id")
+    update = update_rows(events, inner, [on]).select(*keep, "mode")
+    lists = events.groupBy(episode, on).agg(F.array_sort(F.collect_list("frame_index")).alias("event_frames"))  # event frames of one episode
+    turn = transition_updates(lists, spec, on).select(*keep).withColumn("mode", F.lit("UPDATE"))
+    split = split_episodes(frames.select(episode).distinct(), episode, ratio, True, seed)
+    rows = detect.unionByName(update).unionByName(turn).join(split, episode)
+    rows = rows.withColumn("uid", F.concat_ws("-", "label", "task_id", F.col(episode).cast("string"), F.col("inter").cast("string"), F.col("step").cast("string"), F.col("frame_index").cast("string")))
+    ranked = hash_rank(rows.withColumn("__g", F.concat_ws("/", "mode", "split")), "__g", "uid", seed, "__k")
+    return ranked.withColumn("shard", F.floor(F.col("__k") / shard)).drop("__g", "__k", "__k_of")
+
+
+def write_build(rows: DataFrame, path: str, meta: dict) -> None:
+    """JSON lines in a folder per mode, split and shard, and one row of meta beside them."""
+    rows.repartition("mode", "split", "shard").sortWithinPartitions("mode", "split", "shard", "uid").write.partitionBy("mode", "split", "shard").json(f"{path}/rows")
+    rows.sparkSession.createDataFrame([{k: str(v) for k, v in meta.items()}]).coalesce(1).write.json(f"{path}/meta")

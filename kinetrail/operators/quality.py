@@ -30,3 +30,36 @@ def not_monotonic(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 def missing_files(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return wanted.join(present.select(key).distinct(), key, "left_anti")
+
+
+def label_rules(output: Column, statuses: list[str], longest: int = 512) -> dict[str, Column]:
+    """Rules of a map with desc_1, desc_2 and status; an absent map breaks none."""
+    here, rules = output.isNotNull(), {}
+    text = lambda k: F.regexp_replace(F.coalesce(output[k], F.lit("")), r"^\s+|\s+$", "")
+    for k in ("desc_1", "desc_2", "status"):
+        rules[f"api_output_missing_{k}"] = here & ~F.coalesce(F.array_contains(F.map_keys(output), k), F.lit(False))
+    rules["label_status_invalid"] = here & ~F.coalesce(output["status"].isin(statuses), F.lit(False))
+    for k, name in (("desc_1", "desc1"), ("desc_2", "desc2")):
+        rules[f"label_{name}_empty"] = here & (text(k) == "")
+        rules[f"label_{name}_too_long"] = here & (F.length(text(k)) > longest)
+    return rules
+
+
+def image_rules(images: Column, cameras: Column, millis: Column, strict: bool = False) -> dict[str, Column]:
+    """Rules of a map of image paths, the list of cameras and a time given as text; null breaks none of them."""
+    off = lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "images_count_out_of_bounds": off(~F.size(F.map_keys(images)).between(1, 8)),
+        "images_value_not_str": off(F.exists(F.map_values(images), lambda v: v.isNull())),
+        "images_count_mismatch": off(F.size(F.map_keys(images)) != F.size(cameras)),
+        "timestamp_invalid": millis.isNotNull() & off(F.coalesce(millis.try_cast("long") < 0, F.lit(True))),
+    }
+    if strict:
+        rules["images_keys_mismatch_strict"] = off(F.array_sort(F.array_distinct(F.map_keys(images))) != F.array_sort(F.array_distinct(cameras)))
+    return rules
+
+
+def first_nulls(df: DataFrame, key: str, columns: list[str], n: int = 10) -> DataFrame:
+    """The report of the first ``n`` rows with a null, in order of the key, and their null columns."""
+    bad = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    return df.select(key, bad.alias("null_columns")).filter(F.size("null_columns") > 0).orderBy(key).limit(n)

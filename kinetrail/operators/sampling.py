@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.rng import hash_key, hash_uniform
 
 
+def hash_rank(df: DataFrame, group: str, key: str, seed: int | str = 0, name: str = "rank") -> DataFrame:
+    """Rank from 0 inside each group in order of the key's hash, and the group's size in ``{name}_of``.
+
+    The first three hex digits of the hash cut a group into 4,096 slices. Their counts are
+    summed up, rows are numbered inside a slice, so a group of a third of all rows is spread
+    over that many keys. Ties of a repeated key are broken by nothing: keys should be unique.
+    Rows with a null group go.
+    """
+    got = df.withColumn("__h", hash_key(key, seed)).withColumn("__s", F.substring("__h", 1, 3))
+    slices = got.groupBy(group, "__s").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0))
+    slices = slices.select(group, "__s", (upto - F.col("__c")).alias("__from"), F.sum("__c").over(Window.partitionBy(group)).alias(f"{name}_of"))
+    inside = F.row_number().over(Window.partitionBy(group, "__s").orderBy("__h", key)) - 1
+    return got.withColumn("__i", inside).join(slices, [group, "__s"]).withColumn(name, F.col("__from") + F.col("__i")).drop("__h", "__s", "__i", "__from")
+
+
 def interval_sample(df: DataFrame, key: str, block: int, per_block: int, seed: int = 0) -> DataFrame:
     """``per_block`` rows of every block of consecutive ids."""
     by = Window.partitionBy(F.floor(F.col(key) / block)).orderBy(hash_key(key, seed), key)
@@ -17,12 +33,11 @@ def interval_sample(df: DataFrame, key: str, block: int, per_block: int, seed: i
 def split_episodes(episodes: DataFrame, key: str, ratio: float, half_even: bool = True, seed: int = 0) -> DataFrame:
     """Marks the first n * ratio episodes of a seeded shuffle as ``val``, the others as ``train``.
 
-    The table has one row per episode; the shuffle ranks that dimension only.
+    Ranks come from ``hash_rank``, so no task holds all episodes.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    size = F.rint(n * F.lit(ratio)) if half_even else F.floor(n * F.lit(ratio))
-    rank = F.row_number().over(Window.orderBy(hash_key(key, seed), key))
-    return episodes.withColumn("split", F.when(rank <= size, "val").otherwise("train"))
+    got = hash_rank(episodes.withColumn("__all", F.lit(0)), "__all", key, seed, "__rank")
+    size = F.rint(F.col("__rank_of") * F.lit(ratio)) if half_even else F.floor(F.col("__rank_of") * F.lit(ratio))
+    return got.withColumn("split", F.when(F.col("__rank") < size, "val").otherwise("train")).drop("__all", "__rank", "__rank_of")
 
 
 def resample(df: DataFrame, key: str, weight: float, seed: int = 0) -> DataFrame:
@@ -53,15 +68,31 @@ def mixed_batches(df: DataFrame, label: str, key: str, quota: dict, epoch: int =
 
     The rank of a row among its label decides its batch; a batch stays if complete.
     """
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(hash_key(key, epoch), key))
     size = F.coalesce(*[F.when(F.col(label) == k, F.lit(n)) for k, n in quota.items()])
-    placed = df.withColumn("__n", size).filter("__n is not null").withColumn("batch", F.floor((rank - 1) / F.col("__n")))
+    ranked = hash_rank(df.withColumn("__n", size).filter("__n is not null"), label, key, epoch, "__k")
+    placed = ranked.withColumn("batch", F.floor(F.col("__k") / F.col("__n"))).drop("__k", "__k_of")
     whole = placed.groupBy("batch").agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") == sum(quota.values())).select("batch")
     return placed.join(whole, "batch", "left_semi").drop("__n")
 
 
-def drop_edges(df: DataFrame, episode: str, first: int, last: int, frame: str = "frame_index") -> DataFrame:
+def mixed_draws(df: DataFrame, label: str, key: str, quota: dict, batches: int, seed: int = 0) -> DataFrame:
+    """``batches`` batches with a fixed number of rows per label, drawn with replacement.
+
+    A slot's number is the hash of (batch, label, slot) scaled to the pool; pools are numbered
+    by ``hash_rank``. A label without rows gives no row.
+    """
+    pools = hash_rank(df.filter(F.col(label).isin(list(quota))), label, key, seed, "__k")
+    sizes = pools.groupBy(label).agg(F.max("__k_of").alias("__n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias(label), F.lit(s).alias("slot")) for k, n in quota.items() for s in range(n)])
+    slots = df.sparkSession.range(batches).select(F.col("id").alias("batch"), F.explode(wanted).alias("w")).select("batch", f"w.{label}", "w.slot")
+    at = F.floor(hash_uniform(F.concat_ws("-", "batch", label, "slot"), seed) * F.col("__n"))
+    return slots.join(F.broadcast(sizes), label).withColumn("__k", at).join(pools.drop("__k_of"), [label, "__k"]).drop("__k", "__n")  # one size per label of the quota
+
+
+def drop_edges(df: DataFrame, episode: str, first: int, last: int, frame: str = "frame_index", only: list | None = None) -> DataFrame:
+    """Rows without the first and last frames of their episode, of the episodes in ``only`` (all, if None)."""
     length = F.count(F.lit(1)).over(Window.partitionBy(episode))
+    df = df if only is None else df.filter(F.col(episode).isin(list(only)))
     return df.withColumn("__l", length).filter((F.col(frame) >= first) & (F.col(frame) < F.col("__l") - last)).drop("__l")
 
 

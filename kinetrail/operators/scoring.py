@@ -27,3 +27,32 @@ def accuracies(df: DataFrame, parsed: Column, ok: Column) -> DataFrame:
     seen, every = F.count(F.when(parsed, 1)), F.count(F.lit(1))
     one = F.lit(1)
     return df.agg((good / F.greatest(seen, one)).alias("of_parsed"), (every - seen).alias("parse_failures"), (good / F.greatest(every, one)).alias("of_all"))
+
+
+def majority_texts(df: DataFrame, by: str, status: str, first: str, second: str, priority: list[str], order: str) -> DataFrame:
+    """The winning candidate per group with all vote counts.
+
+    Most frequent status, ties by ``priority``; of its candidates that with the shortest two
+    texts, ties to the smallest ``order``. Statuses outside ``priority`` do not vote; null
+    texts count as empty.
+    """
+    size = F.coalesce(F.length(first), F.lit(0)) + F.coalesce(F.length(second), F.lit(0))
+    per = df.filter(F.col(status).isin(priority)).groupBy(by, status).agg(F.count(F.lit(1)).alias("__n"), F.min_by(F.struct(first, second, order), F.struct(size, order)).alias("__best"))
+    rank = F.coalesce(*[F.when(F.col(status) == s, F.lit(i)) for i, s in enumerate(priority)])
+    votes = [F.coalesce(F.max(F.when(F.col(status) == s, F.col("__n"))), F.lit(0)).alias("votes_" + s.lower().replace(" ", "_")) for s in priority]
+    got = per.groupBy(by).agg(F.min_by(F.struct(status, "__best"), F.struct(-F.col("__n"), rank)).alias("__w"), *votes)
+    return got.select(by, f"__w.{status}", f"__w.__best.{first}", f"__w.__best.{second}", f"__w.__best.{order}", *["votes_" + s.lower().replace(" ", "_") for s in priority])
+
+
+def match_fields(truth: Column, guess: Column, keys: list[str], norm) -> dict[str, Column]:
+    """``match_<key>`` per key of two parsed maps and ``match``, all of them."""
+    one = {f"match_{k}": norm(truth[k]).eqNullSafe(norm(guess[k])) for k in keys}
+    every = F.lit(True)
+    for c in one.values():
+        every = every & c
+    return {**one, "match": every}
+
+
+def match_flag(truth: Column, guess: Column, key: str, norm) -> Column:
+    """True if both maps hold a readable boolean under the key, and the same."""
+    return F.coalesce(norm(truth[key]) == norm(guess[key]), F.lit(False))

@@ -132,3 +132,15 @@ def carry_forward(df: DataFrame, episode: str, value: Column, period: int, frame
     """The value of every ``period``-th frame, held until the next; nulls keep the one before."""
     called = F.when(F.col(frame) % period == 0, value)
     return df.withColumn("held", F.last(called, ignorenulls=True).over(Window.partitionBy(episode).orderBy(frame)))
+
+
+def sticky_note(df: DataFrame, episode: str, done: Column, note: str, text: str, overwrite: bool, name: str, frame: str = "frame_index") -> DataFrame:
+    """From the first done frame on ``sticky`` is true and ``name`` is ``text``: everywhere, or only where the note is empty or null."""
+    got = df.withColumn("sticky", F.max(F.coalesce(done, F.lit(False))).over(Window.partitionBy(episode).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)))
+    empty = F.coalesce(F.trim(F.col(note)) == "", F.lit(True))
+    return got.withColumn(name, F.when(F.col("sticky") & (F.lit(overwrite) | empty), text).otherwise(F.col(note)))
+
+
+def mark_range(df: DataFrame, low: Column, high: Column, frame: str = "frame_index") -> DataFrame:
+    """``moved`` is true for the frames of an inclusive range, given in either order; a soft delete writes the two parts apart."""
+    return df.withColumn("moved", F.col(frame).between(F.least(low, high), F.greatest(low, high)))
