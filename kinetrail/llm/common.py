@@ -26,9 +26,9 @@ class Workspace:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.path = f"{base.rstrip('/')}/kinetrail-{tag}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` once and return a DataFrame that reads it."""
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.parquet(f"{self.path}/{name}", compression=compression)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
+from . import alignment, exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_alignment": alignment.op11_alignment,
 }
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
