@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import alignment, exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
+from . import alignment, exact_dedup, language_id, maxscore, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_alignment": alignment.op11_alignment,
+    "op12_maxscore": maxscore.op12_maxscore,
 }
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
     "op2_ngram_join": ngram_join.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_maxscore": maxscore.ORACLE,
 }

@@ -46,25 +46,44 @@ def column_slices(column, limit: int = SLICE_BYTES):
         lo = hi
 
 
-def shingle_hashes(texts: list[bytes | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every shingle in order of place, repeats included."""
-    raw = b" ".join([t or b"" for t in texts]) + b" "
-    data = np.frombuffer(raw, np.uint8)
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which of the 256 bytes lie in one of the ranges, ends included."""
+    inside = np.zeros(256, bool)
+    for lo, hi in ranges:
+        inside[lo : hi + 1] = True
+    return inside
+
+
+WORDS = ~byte_table((9, 13), (32, 32))
+LOWER = np.where(byte_table((65, 90)), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+
+
+def word_hashes(texts: list[bytes | None], inside: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number) of every run of ``inside`` bytes, A-Z lower-cased, and runs per text.
+
+    The blank, which stands between texts here, must not be inside.
+    """
+    data = LOWER[np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)]
+    within = inside[data]
+    begins = np.flatnonzero(within & ~np.concatenate([[False], within[:-1]]))
     if not len(begins):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(inside)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    at = np.flatnonzero(within)
     heads = np.searchsorted(at, begins)
     lengths = np.diff(np.append(heads, len(at)))
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()) - 1, BASE)]), dtype=np.uint64)
     place = np.arange(len(at)) - np.repeat(heads, lengths)
     word = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * powers[place], heads)
-    word = mixed(word + lengths.astype(np.uint64) * STEP)
     sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
     owner = np.searchsorted(np.cumsum(sizes), begins, side="right")
-    count = np.bincount(owner, minlength=len(texts))
+    return mixed(word + lengths.astype(np.uint64) * STEP), owner, np.bincount(owner, minlength=len(texts))
+
+
+def shingle_hashes(texts: list[bytes | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every shingle in order of place, repeats included."""
+    word, owner, count = word_hashes(texts)
+    if not len(word):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = word.copy()
     n = max(0, len(word) - k + 1)
     for i in range(1, k):
