@@ -2,7 +2,9 @@
 
 Every step is a grouped minimum joined back to the links (Spark splits skewed join
 partitions; no neighbourhood is ever collected), written to the shared folder. The
-number of rounds grows with the logarithm of the longest chain.
+number of rounds grows with the logarithm of the longest chain. Links go to tasks of
+about ``TASK_LINKS``, and each task first reduces its own to a forest; where one task
+takes them all, that forest is the result.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+TASK_LINKS = 200_000
+
 
 def _forest(batches):
     """Links of one partition reduced to a forest: (node, root) with root < node."""
@@ -52,8 +56,14 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """links (u, v); gives (u, component) for every node that is not its own minimum."""
-    edges = ws.write(links.select("u", "v").mapInArrow(_forest, "u long, v long").filter("u > v").distinct(), f"{name}-0")
-    step = 0
+    reduced = lambda df: df.select("u", "v").mapInArrow(_forest, "u long, v long").filter("u > v")
+    edges = ws.write(reduced(links), f"{name}-0")
+    tasks = -(-edges.count() // TASK_LINKS)
+    if tasks <= 1:
+        return reduced(edges.coalesce(1)).select("u", F.col("v").alias("component"))
+    edges = ws.write(reduced(edges.coalesce(tasks)).distinct(), f"{name}-1")
+    ws.drop(f"{name}-0")
+    step = 1
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from . import alignment, exact_dedup, language_id, maxscore, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
+from . import alignment, exact_dedup, language_id, maxscore, minhash, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_alignment": alignment.op11_alignment,
     "op12_maxscore": maxscore.op12_maxscore,
+    "op13_minhash": minhash.op13_minhash,
 }
 ORACLES = {
     "op1_topk_search": topk.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op12_maxscore": maxscore.ORACLE,
+    "op13_minhash": minhash.ORACLE,
 }

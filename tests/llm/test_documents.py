@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrail.llm import exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, toxicity
+from kinetrail.llm import components, exact_dedup, language_id, mixing, ngram_join, pii, sentencepiece_fst, suffix_dedup, toxicity
 from kinetrail.llm import shingles as sh
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -130,7 +130,9 @@ def test_ngram_join(spark, monkeypatch):
     assert found(ngram_join.ngram_join(docs(spark, rows))) == want
     for name, value in (("SALT_ROWS", 2), ("BLOCK", 4), ("BROADCAST_IDS", 0), ("BROADCAST_BYTES", 0), ("PAIRS_AT_ONCE", 50)):
         monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(components, "TASK_LINKS", 40)
     assert found(ngram_join.ngram_join(docs(spark, rows))) == want
+    assert found(ngram_join.ngram_join(docs(spark, rows), digest_bits=6)) == want  # most first digests stand for several sets
 
 
 def test_drop_near_copies(spark):
@@ -154,7 +156,7 @@ def test_order_does_not_depend_on_batches():
     rows = [(t, 0, 0, 0, int(n[i]), 0, i, i, bits[i]) for t in range(5) for i in range(12) if (i + t) % 3]
     names = ["token", "a", "b", "own", "n", "place", "node", "component", "bits"]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-    run = lambda cuts: {tuple(x.values()) for b in ngram_join._open_pairs(1, True)([batch.slice(i, j - i) for i, j in zip([0, *cuts], [*cuts, len(rows)])]) for x in b.to_pylist()}
+    run = lambda cuts: {tuple(x.values()) for b in ngram_join._open_pairs(ngram_join.ShingleFilters(1), True)([batch.slice(i, j - i) for i, j in zip([0, *cuts], [*cuts, len(rows)])]) for x in b.to_pylist()}
     assert {p[1:] for p in run([])} == {p[1:] for p in run([3, 4, 4, 19, 30])} and run([])
 
 
