@@ -5,8 +5,8 @@ under one hash function, so two documents collide in a coordinate with a chance
 similarity. Documents with at least ``MATCHES`` collisions are candidates; candidates link if
 their full sets do.
 
-1. Signatures. One pass gives each row its set's size, digests and signature. Equal sets are
-   one node from here on. The texts are not read again but for verification.
+1. Signatures. One pass gives each row its set's size, digests, signature and parity bitmap.
+   Equal sets are one node from here on. The texts are not read again but for verification.
 2. Inverted lists. A node is posted under coordinate-value pairs. Two signatures with m
    collisions share one of their first COORDINATES - m + 1 pairs in any common order, so only
    these prefixes are posted, rare pairs first: pairs are ordered by a fixed table of counters,
@@ -14,7 +14,8 @@ their full sets do.
 3. Merging. In each list the shortest set is the hub of those of fitting size, and proposes one
    pair a member. A proposed pair's collisions are counted along both signatures in steps,
    which skip the rest of a pair as soon as its remaining coordinates can't reach MATCHES.
-4. What reaches MATCHES is verified once on the full shingle sets of its texts. Links give
+4. What reaches MATCHES, and differs in few enough bits of the bitmaps (a bound from below on
+   the sets' difference), is verified once on the full shingle sets of its texts. Links give
    components. Lists that touch several components are opened: first each member's closest partner
    in another component, then all pairs across components are counted and verified.
 
@@ -36,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, mixed, table, tidy
-from .ngram_join import BUCKET_BYTES, CELLS, CHUNKS, PACK, POSTING, Names, Order, _binary, _lists, cells_of, frequencies, grouped, linked_components, packs, tallied, with_components
+from .ngram_join import BUCKET_BYTES, CELLS, CHUNKS, PACK, POSTING, Bitmaps, Names, Order, _lists, bitmaps, cells_of, frequencies, grouped, linked_components, packs, permits, tallied, with_components
 from .shingles import STEP, column_slices, shingle_sets
 
 K, PERCENT, COORDINATES, MATCHES, STRIDE = 4, 80, 96, 48, 16
+WIDTH = 4 * COORDINATES
 SETS = "id long, n int, node long, second long, bits binary"
 #: Odd multipliers of the hash functions; a shingle's value is the upper half of the product.
 FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * STEP) | np.uint64(1)
@@ -84,7 +86,7 @@ class CollisionFilters:
         return np.maximum(nx, ny) * self.percent <= np.minimum(nx, ny) * 100
 
     def compared(self, n: np.ndarray, raw: list[bytes]):
-        own, matches = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, COORDINATES), self.matches
+        own, bits, matches = _stacked(raw), Bitmaps(n, [r[WIDTH:] for r in raw]), self.matches
 
         def run(x, y):
             count = np.zeros(len(x), np.int64)
@@ -92,6 +94,8 @@ class CollisionFilters:
                 part = slice(k, k + (1 << 15))
                 count[part] = collisions(own, own, x[part], y[part], matches)
             ok = (count >= matches) & self.may_link(n[x], n[y], 0, 0)
+            left = np.flatnonzero(ok)
+            ok[left] = permits(n[x[left]], n[y[left]], bits.differ(x[left], y[left]), self.percent)
             return ok, COORDINATES - count
 
         return run
@@ -107,13 +111,14 @@ def _signed(k: int, names: Names):
                 n = np.bincount(doc, minlength=hi - lo)
                 own = signatures(doc, h, n)
                 both = [pa.array(x(doc, h, n)) for x in (names.first, names.second)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()), *both, _binary(own.ravel(), np.arange(hi - lo) * COORDINATES)], names=["id", "n", "node", "second", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()), *both, pa.array([a.tobytes() + m for a, m in zip(own, bitmaps(doc, h, n).to_pylist())], pa.binary())], names=["id", "n", "node", "second", "bits"])
 
     return run
 
 
-def _stacked(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def _stacked(raw: list[bytes]) -> np.ndarray:
+    """The signatures of marks, each a signature and a bitmap."""
+    return np.frombuffer(b"".join([r[:WIDTH] for r in raw]), np.uint32).reshape(-1, COORDINATES)
 
 
 def _pair_counts(batches):
@@ -123,7 +128,7 @@ def _pair_counts(batches):
     counts, seen = np.zeros(CELLS, np.uint32), 0
     for b in batches:
         for lo in range(0, b.num_rows, 2048):
-            h = pair_hashes(_stacked(b.column(0).slice(lo, 2048))).ravel()
+            h = pair_hashes(_stacked(b.column(0).slice(lo, 2048).to_pylist())).ravel()
             counts += cells_of(h)
             seen += len(h)
     if seen:
@@ -138,7 +143,7 @@ def _posted(shared, buckets: int, length: int):
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                node, n, h = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64), pair_hashes(_stacked(part.column(2)))
+                node, n, h = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64), pair_hashes(_stacked(part.column(2).to_pylist()))
                 by = np.lexsort((h, order.rank(h)), axis=1)[:, :length]
                 h = np.take_along_axis(h, by, 1)
                 doc = np.repeat(np.arange(len(h)), length)
