@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash_uniform
+from .positions import numbered, numbered_within
 from .sampling import split_episodes
 
 
@@ -20,15 +21,8 @@ def union_common(tables: dict[str, DataFrame], tag: str = "dataset") -> DataFram
 
 
 def renumber(df: DataFrame, group: str, order: str, start: int = 0, name: str = "index") -> DataFrame:
-    """Global consecutive numbers in order of (group, order).
-
-    Counts per group are summed up over groups, rows are numbered inside groups, so
-    no window runs over all rows.
-    """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.withColumn("__from", F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("__i", inside).join(sizes, group).withColumn(name, F.col("__from") + F.col("__i") - 1 + start).drop("__i", "__from")
+    """Global consecutive numbers in order of (group, order), over range partitions."""
+    return numbered(df, group, order, name=name, start=start)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, targets: DataFrame | None = None) -> DataFrame:
@@ -44,15 +38,16 @@ def keep_latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def shard_ids(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """Shards of fixed size per group; a size of 0 or less is one shard."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return df.withColumn("shard", F.floor(rank / size).cast("long") if size > 0 else F.lit(0).cast("long"))
+    if size <= 0:
+        return df.withColumn("shard", F.lit(0).cast("long"))
+    return numbered_within(df, group, order, name="shard").withColumn("shard", F.floor(F.col("shard") / size).cast("long"))
 
 
 def stable_group_order(df: DataFrame, group: str, order: str, inside: str) -> DataFrame:
     """Position of each row when groups come by first appearance, rows by ``inside``, ties by order."""
-    first = F.min(order).over(Window.partitionBy(group))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.coalesce(F.col(inside), F.lit(-1)), order))
-    return df.withColumn("group_at", first).withColumn("place", rank)
+    first = df.groupBy(F.col(group).alias("__f")).agg(F.min(order).alias("group_at"))
+    placed = numbered_within(df.withColumn("__in", F.coalesce(F.col(inside), F.lit(-1))), group, "__in", order, name="place", start=1).drop("__in")
+    return placed.join(first, F.col(group).eqNullSafe(F.col("__f"))).select(*df.columns, "group_at", F.col("place").cast("int").alias("place"))
 
 
 def keep_last_n(df: DataFrame, index: str, capacity: int) -> DataFrame:

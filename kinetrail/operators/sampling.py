@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash_key, hash_uniform
+from .positions import numbered
 
 
-def hash_rank(df: DataFrame, group: str, key: str, seed: int | str = 0, name: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, group: str, key: str, seed: int | str = 0, name: str = "rank", ties: tuple[str, ...] = ()) -> DataFrame:
     """Rank from 0 inside each group in order of the key's hash, and the group's size in ``{name}_of``.
 
     The first three hex digits of the hash cut a group into 4,096 slices. Their counts are
     summed up, rows are numbered inside a slice, so a group of a third of all rows is spread
-    over that many keys. Ties of a repeated key are broken by nothing: keys should be unique.
-    Rows with a null group go.
+    over that many keys. Rows with one key are in order of ``ties``. Rows with a null group go.
     """
     got = df.withColumn("__h", hash_key(key, seed)).withColumn("__s", F.substring("__h", 1, 3))
     slices = got.groupBy(group, "__s").agg(F.count(F.lit(1)).alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0))
     slices = slices.select(group, "__s", (upto - F.col("__c")).alias("__from"), F.sum("__c").over(Window.partitionBy(group)).alias(f"{name}_of"))
-    inside = F.row_number().over(Window.partitionBy(group, "__s").orderBy("__h", key)) - 1
+    inside = F.row_number().over(Window.partitionBy(group, "__s").orderBy("__h", key, *ties)) - 1
     return got.withColumn("__i", inside).join(slices, [group, "__s"]).withColumn(name, F.col("__from") + F.col("__i")).drop("__h", "__s", "__i", "__from")
 
 
@@ -48,9 +48,12 @@ def resample(df: DataFrame, key: str, weight: float, seed: int = 0) -> DataFrame
 
 
 def keep_first(df: DataFrame, uid: str, order: str) -> DataFrame:
-    """First row of each uid; rows with an empty uid all stay, a null uid counts as one value."""
-    rank = F.row_number().over(Window.partitionBy(F.coalesce(F.col(uid), F.lit("None"))).orderBy(order))
-    named = df.filter(~F.col(uid).eqNullSafe("")).withColumn("__r", rank).filter("__r = 1").drop("__r")
+    """First row of each uid; rows with an empty uid all stay, a null uid counts as one value.
+
+    A grouped minimum, combined on the map side, so that a frequent uid is no window.
+    """
+    first = df.filter(~F.col(uid).eqNullSafe("")).groupBy(F.coalesce(F.col(uid), F.lit("None")).alias("__u")).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("__first"))
+    named = first.select("__first.*")
     return named.unionByName(df.filter(F.col(uid).eqNullSafe("")))
 
 
@@ -109,8 +112,8 @@ def sampler_weights(df: DataFrame, group: Column, valid: Column, ratios: dict) -
 
 
 def stride_shard(df: DataFrame, order: str, rank: int, world: int) -> DataFrame:
-    """Rows rank, rank + world, ... of a table of episodes in order."""
-    return df.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1).filter(F.col("__i") % world == rank).drop("__i")
+    """Rows rank, rank + world, ... of a table in order."""
+    return numbered(df, order, name="__i").filter(F.col("__i") % world == rank).drop("__i")
 
 
 def weighted_order(df: DataFrame, by: str, key: str, weight: Column, n: int, seed: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import Ordered, affine_scan, numbered
+
 
 def scalar_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """min, max, mean, population std and count; NaN counts as missing."""
@@ -32,9 +34,6 @@ def merge_stats(stats: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.first("__m").alias("mean"), F.sqrt(spread / total).alias("std"), total.alias("count"))
 
 
-merge_stats_wide = merge_stats
-
-
 def square_sum_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """sqrt(E[x*x] - E[x]**2), never below zero."""
     x = F.col(value).cast("double")
@@ -42,9 +41,8 @@ def square_sum_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Distinct values numbered in order of first appearance; the window runs over them only."""
-    first = df.groupBy(value).agg(F.min(order).alias("first_at"))
-    return first.withColumn("code", F.row_number().over(Window.orderBy("first_at")) - 1)
+    """Distinct values numbered in order of first appearance."""
+    return numbered(df.groupBy(value).agg(F.min(order).alias("first_at")), "first_at", value, name="code")
 
 
 def first_values(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
@@ -87,27 +85,20 @@ def decayed_mean(df: DataFrame, by: str, order: str, value: Column, m: float) ->
     return df.select(by, F.exp(-m * i).alias("w"), value.alias("x")).groupBy(by).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("ensemble"))
 
 
-def advantages(df: DataFrame, episode: str, order: str, reward: Column, value: Column, gamma: float, lam: float) -> DataFrame:
+def advantages(df: DataFrame, episode: str, order: str, reward: Column, value: Column, gamma: float, lam: float, done: Column | None = None) -> DataFrame:
     """Backward scan A_t = d_t + gamma lam A_{t+1} per episode, with returns A + V.
 
-    A recurrence has no built-in window; each episode's three numbers a step go through one
-    pass of a grouped function. Null rewards or values make the earlier steps null.
+    d_t = r_t + gamma V_{t+1} - V_t. At the last step of an episode, and where ``done`` is true,
+    nothing of the next step counts; a null ``done`` is false. Null or NaN rewards or values make the
+    steps before them null, back to the last end. The scan runs over blocks of positions
+    in the order of all rows (``positions.affine_scan``), so an episode may span many tasks.
     """
-    rows = df.select(F.col(episode), F.col(order), reward.cast("double").alias("__r"), value.cast("double").alias("__v"))
-
-    def scan(pdf):
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        a = after = 0.0
-        out = []
-        for r, v in zip(reversed(pdf["__r"].tolist()), reversed(pdf["__v"].tolist())):
-            a, after = r + gamma * after - v + gamma * lam * a, v
-            out.append(a)
-        pdf["advantage"] = out[::-1]
-        pdf["ret"] = pdf["advantage"] + pdf["__v"]
-        return pdf.drop(columns=["__r", "__v"])
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (episode, order))
-    done = rows.groupBy(episode).applyInPandas(scan, f"{kinds}, advantage double, ret double")
-    return done.select(episode, F.col(order).cast("int").alias(order), *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("advantage", "ret")])
-
-
+    number = lambda x: F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.col(episode).alias("__e"), F.col(order).alias("__t"), number(reward).alias("__r"), number(value).alias("__v"), (F.lit(False) if done is None else F.coalesce(done, F.lit(False))).alias("__d"))
+    placed = Ordered(rows, "__e", "__t")
+    got = placed.neighbours(["__e", "__v"], previous=None, following="__n", position="__p")
+    goes_on = F.col("__n").isNotNull() & F.col("__n.__e").eqNullSafe(F.col("__e")) & ~F.col("__d")
+    step = F.col("__r") + F.when(goes_on, gamma * F.col("__n.__v")).otherwise(0.0) - F.col("__v")
+    got = got.withColumn("__b", step).withColumn("__a", F.when(goes_on, F.lit(gamma * lam)).otherwise(0.0)).drop("__n", "__r", "__d")
+    out = affine_scan(got, "__p", placed.count, F.col("__a"), F.col("__b"), "advantage")
+    return out.select(F.col("__e").alias(episode), F.col("__t").cast("int").alias(order), "advantage", (F.col("advantage") + F.col("__v")).alias("ret"))

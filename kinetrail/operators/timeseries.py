@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import Ordered
+
 
 def frames(df: DataFrame, episode: str, *order: str) -> DataFrame:
     """Adds the zero-based ``frame_index`` inside each episode."""
@@ -17,10 +19,9 @@ def decimate(df: DataFrame, step: int, frame: str = "frame_index") -> DataFrame:
 
 
 def episode_offsets(df: DataFrame, episode: str) -> DataFrame:
-    """Half-open global row ranges per episode; the prefix sum runs over episodes only."""
+    """Half-open global row ranges per episode."""
     lengths = df.groupBy(episode).agg(F.count(F.lit(1)).alias("length"))
-    upto = F.sum("length").over(Window.orderBy(episode).rowsBetween(Window.unboundedPreceding, 0))
-    return lengths.withColumn("to_index", upto).withColumn("from_index", F.col("to_index") - F.col("length"))
+    return Ordered(lengths, episode).running_sum("length", "to_index").withColumn("from_index", F.col("to_index") - F.col("length"))
 
 
 def runs(df: DataFrame, episode: str, key: str, frame: str = "frame_index") -> DataFrame:

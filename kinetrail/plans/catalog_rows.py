@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators.positions import numbered
 from ..sources import layout
 from .base import FR, event_frames, query, r6, read
 
@@ -28,7 +28,7 @@ def path_to_episode(spark, d):
 @query("numeric_name_order", "SELECT user_id, 'img_' || user_id || '.jpg' AS name, row_number() OVER (ORDER BY user_id) AS place FROM (SELECT DISTINCT user_id FROM events)")
 def numeric_names(spark, d):
     names = read(spark, d, "events").select("user_id").distinct().withColumn("name", F.format_string("img_%d.jpg", "user_id"))
-    return names.withColumn("place", F.row_number().over(Window.orderBy(F.regexp_extract("name", r"_(\d+)\.", 1).cast("long"))).cast("long"))
+    return numbered(names.withColumn("n", F.regexp_extract("name", r"_(\d+)\.", 1).cast("long")), "n", "name", name="place", start=1).drop("n")
 
 
 @query("frame_time_grid", "WITH u AS (SELECT DISTINCT user_id, user_id % 4 AS dur FROM events) SELECT user_id, slot, round(slot / 5.0, 6) AS at FROM (SELECT user_id, unnest(range(dur * 5 + 1)) AS slot FROM u)")

@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import merge as M
 from ..operators import stats as S
 from ..operators import timeseries as T
+from ..operators.positions import Ordered, numbered
 from .base import FR, event_frames, query, r6, read
 
 
@@ -129,7 +130,7 @@ def anchors(spark, d):
 @query("episode_batches", "SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) // 8 AS batch FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 0)")
 def batches(spark, d):
     episodes = read(spark, d, "events").select("user_id").distinct()
-    return episodes.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("user_id")) - 1) / 8))
+    return numbered(episodes, "user_id", name="batch").withColumn("batch", F.floor(F.col("batch") / 8))
 
 
 @query("drop_edge_frames", f"WITH {FR}, l AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM fr) SELECT user_id, frame_index, event_id FROM l WHERE frame_index >= 2 AND frame_index < n - 3")
@@ -145,6 +146,14 @@ def navigation(spark, d):
     return event_frames(spark, d).select("event_id", F.lag("event_id").over(by).alias("previous_id"), F.lead("event_id").over(by).alias("next_id"))
 
 
+@query("row_navigation_across", "SELECT event_id, user_id, lag(user_id) OVER w AS previous_user, lag(event_id) OVER w AS previous_id, lead(user_id) OVER w AS next_user, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (ORDER BY user_id, ts, event_id)")
+def navigation_across(spark, d):
+    """Steps that go on into the previous or next episode."""
+    rows = read(spark, d, "events").select("user_id", "ts", "event_id")
+    near = Ordered(rows, "user_id", "ts", "event_id").neighbours(["user_id", "event_id"])
+    return near.select("event_id", "user_id", F.col("previous.user_id").alias("previous_user"), F.col("previous.event_id").alias("previous_id"), F.col("following.user_id").alias("next_user"), F.col("following.event_id").alias("next_id"))
+
+
 @query("running_event_state", f"WITH {FR}, s AS (SELECT user_id, frame_index, least(5, greatest(0, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY frame_index)))::INTEGER AS state FROM fr) SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY frame_index), state) AS previous_state FROM s")
 def running(spark, d):
     return T.running_state(event_frames(spark, d, "event_type"), "user_id", F.col("event_type") == "purchase", 0, 5).select("user_id", "frame_index", "state", "previous_state")
@@ -194,7 +203,7 @@ def vector(spark, d):
 @query("stats_merge_partial_final", f"SELECT event_type, {STAT} FROM (SELECT event_type, value AS x FROM events) GROUP BY event_type")
 def merged_stats(spark, d):
     parts = S.scalar_stats(read(spark, d, "events"), ["event_type", "user_id"], "value")
-    return _rounded(S.merge_stats_wide(parts, ["event_type"]), "event_type")
+    return _rounded(S.merge_stats(parts, ["event_type"]), "event_type")
 
 
 @query("stats_union_of_features", f"SELECT feature, {STAT} FROM (SELECT 'value' AS feature, value AS x FROM events UNION ALL SELECT 'n_chars', n_chars::DOUBLE FROM documents UNION ALL SELECT 'e0', embedding[1]::DOUBLE FROM embeddings) GROUP BY feature")
@@ -273,7 +282,7 @@ def array_summary(spark, d):
 def consistency(spark, d):
     events = read(spark, d, "events")
     direct = S.scalar_stats(events, ["event_type"], "value").select("event_type", F.col("mean").alias("a"))
-    parts = S.merge_stats_wide(S.scalar_stats(events, ["event_type", "user_id"], "value"), ["event_type"]).select("event_type", F.col("mean").alias("b"))
+    parts = S.merge_stats(S.scalar_stats(events, ["event_type", "user_id"], "value"), ["event_type"]).select("event_type", F.col("mean").alias("b"))
     return direct.join(parts, "event_type").select("event_type", (F.abs(F.col("a") - F.col("b")) <= 1e-6 + 5e-6 * F.abs("b")).alias("close"))
 
 
@@ -363,6 +372,13 @@ def gae(spark, d):
     return out.select("user_id", "frame_index", r6(F.col("advantage"), "advantage"), r6(F.col("ret"), "ret"))
 
 
+@query("gae_done_mask", f"WITH RECURSIVE {FR}, n AS (SELECT user_id, max(frame_index) AS m FROM fr GROUP BY 1), r AS (SELECT f.user_id, f.frame_index, value / 100.0 - 0.5 AS a FROM fr f JOIN n ON f.user_id = n.user_id AND f.frame_index = n.m UNION ALL SELECT f.user_id, f.frame_index, f.value / 100.0 + CASE WHEN f.event_type = 'purchase' THEN 0.0 ELSE 0.9 * 0.5 END - 0.5 + CASE WHEN f.event_type = 'purchase' THEN 0.0 ELSE 0.9 * 0.8 * r.a END FROM fr f JOIN r ON f.user_id = r.user_id AND f.frame_index = r.frame_index - 1) SELECT user_id, frame_index::INTEGER AS frame_index, round(a, 6) AS advantage, round(a + 0.5, 6) AS ret FROM r")
+def gae_done(spark, d):
+    """Ends inside an episode: a purchase is the last step of its rollout."""
+    out = S.advantages(event_frames(spark, d, "value", "event_type"), "user_id", "frame_index", F.col("value") / 100.0, F.lit(0.5), 0.9, 0.8, F.col("event_type") == "purchase")
+    return out.select("user_id", "frame_index", r6(F.col("advantage"), "advantage"), r6(F.col("ret"), "ret"))
+
+
 @query("advantage_standardised", "SELECT event_id, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-8), 6) AS z FROM events WINDOW w AS (PARTITION BY user_id)")
 def standardised(spark, d):
     by = Window.partitionBy("user_id")

@@ -97,7 +97,7 @@ def test_states_and_anchors(spark):
 
 def test_stats_merge_and_nan(spark):
     parts = spark.createDataFrame([("a", 0.0, 2.0, 1.0, 1.0, 2), ("a", 2.0, 4.0, 3.0, 1.0, 2)], "k string, min double, max double, mean double, std double, count long")
-    for merge in (S.merge_stats, S.merge_stats_wide):
+    for merge in (S.merge_stats,):
         r = merge(parts, ["k"]).first()
         assert (r["min"], r["max"], r["mean"], r["count"]) == (0.0, 4.0, 2.0, 4) and r["std"] == pytest.approx(2**0.5)
     r = S.scalar_stats(frame_rows(spark, [1.0, float("nan"), None, 3.0]), ["ep"], "v").first()
