@@ -17,7 +17,8 @@ their full sets do.
 4. What reaches MATCHES, and differs in few enough bits of the bitmaps (a bound from below on
    the sets' difference), is verified once on the full shingle sets of its texts. Links give
    components. Lists that touch several components are opened: first each member's closest partner
-   in another component, then all pairs across components are counted and verified.
+   in another component, then all pairs across components are counted and verified. A pair that
+   meets in several lists is answered in one of them, its home, which both signatures tell.
 
 With similarity 0.8, fewer than 48 of 96 coordinates collide with a chance below 1e-9 a pair,
 and of pairs above 0.8 still less; this, and two shingles with one hash (2**-64), are the only
@@ -73,11 +74,18 @@ def collisions(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray
     return count
 
 
+def prefix_pairs(h: np.ndarray, order: Order, length: int) -> np.ndarray:
+    """Which coordinates of signatures (their pair hashes) are among the rarest ``length``."""
+    inside = np.zeros(h.shape, bool)
+    np.put_along_axis(inside, np.lexsort((h, order.rank(h)), axis=1)[:, :length], True, 1)
+    return inside
+
+
 class CollisionFilters:
     """What a pair must meet before its texts are read: fitting sizes and enough collisions."""
 
-    def __init__(self, percent: int, matches: int = MATCHES):
-        self.percent, self.matches = percent, matches
+    def __init__(self, percent: int, matches: int = MATCHES, shared=None):
+        self.percent, self.matches, self.shared, self.length = percent, matches, shared, COORDINATES - matches + 1
 
     def place(self, part: np.ndarray, n: np.ndarray) -> np.ndarray:
         return part
@@ -87,8 +95,19 @@ class CollisionFilters:
 
     def compared(self, n: np.ndarray, raw: list[bytes]):
         own, bits, matches = _stacked(raw), Bitmaps(n, [r[WIDTH:] for r in raw]), self.matches
-
-        def run(x, y):
+        keys, inside = None, None
+
+        def at_home(x, y, token):
+            """Whether the list is the least of all lists in which both are posted."""
+            nonlocal keys, inside
+            if keys is None:
+                h = pair_hashes(own)
+                keys, inside = (h >> np.uint64(8)).view(np.int64), prefix_pairs(h, Order(self.shared.value), self.length)
+            none = np.iinfo(np.int64).max
+            both = (own[x] == own[y]) & inside[x] & inside[y]
+            return np.where(both, keys[x], none).min(1) == token
+
+        def run(x, y, token=None):
             count = np.zeros(len(x), np.int64)
             for k in range(0, len(x), 1 << 15):
                 part = slice(k, k + (1 << 15))
@@ -96,6 +115,11 @@ class CollisionFilters:
             ok = (count >= matches) & self.may_link(n[x], n[y], 0, 0)
             left = np.flatnonzero(ok)
             ok[left] = permits(n[x[left]], n[y[left]], bits.differ(x[left], y[left]), self.percent)
+            if token is not None:
+                left = np.flatnonzero(ok)
+                for k in range(0, len(left), 1 << 15):
+                    part = left[k : k + (1 << 15)]
+                    ok[part] = at_home(x[part], y[part], token[part])
             return ok, COORDINATES - count
 
         return run
@@ -144,24 +168,22 @@ def _posted(shared, buckets: int, length: int):
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 node, n, h = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64), pair_hashes(_stacked(part.column(2).to_pylist()))
-                by = np.lexsort((h, order.rank(h)), axis=1)[:, :length]
-                h = np.take_along_axis(h, by, 1)
-                doc = np.repeat(np.arange(len(h)), length)
-                yield packs(node, n, doc, h.ravel(), np.zeros(h.size, np.int64), order, buckets)
+                doc, c = np.nonzero(prefix_pairs(h, order, length))
+                yield packs(node, n, doc, h[doc, c], np.zeros(len(doc), np.int64), order, buckets)
 
     return run
 
 
 def minhash_join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, percent: int = PERCENT, matches: int = MATCHES, digest_bits: int = 64) -> DataFrame:
     """One row per input row: key, n_shingles, component_id, kept."""
-    spark, ws, names, filters = docs.sparkSession, Workspace(docs.sparkSession, "minhash"), Names(digest_bits), CollisionFilters(percent, matches)
+    spark, ws, names = docs.sparkSession, Workspace(docs.sparkSession, "minhash"), Names(digest_bits)
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     sets = ws.write(own.mapInArrow(tidy(_signed(k, names)), SETS), "sets")
     rows, marks = grouped(sets, names, ws)
-    length = COORDINATES - matches + 1
     cells = frequencies(marks.select("bits").mapInArrow(_pair_counts, "chunk int, counts binary"))
     shared = spark.sparkContext.broadcast(cells)  # a table of fixed size
-    nodes = int(cells.sum(dtype=np.uint64)) // COORDINATES
+    filters = CollisionFilters(percent, matches, shared)
+    nodes, length = int(cells.sum(dtype=np.uint64)) // COORDINATES, filters.length
     buckets = int(max(2 * spark.sparkContext.defaultParallelism, -(-nodes * length * 8 // BUCKET_BYTES)))
     parts = marks.select("node", "n", "bits").mapInArrow(tidy(_posted(shared, buckets, length)), PACK).repartition(buckets, "bucket")
     postings = ws.write(parts.mapInArrow(tidy(_lists(shared, filters)), POSTING), "postings")
