@@ -39,12 +39,113 @@ def field(x: Column, key: str) -> Column:
 
 
 def flat_yaml(x: Column) -> Column:
-    """Map of the ``key: value`` lines; other lines are dropped, the last of equal keys wins."""
+    """Map of the ``key: value`` lines; other lines are dropped, the last of equal keys wins.
+
+    Lines are sorted by key once, so that a line is the last of its key if the next has
+    another; the cost grows with the lines, but for the sort.
+    """
     rows = F.filter(F.split(x, "\n"), lambda s: s.rlike(r"^\s*[^:#\s][^:]*:"))
-    entries = F.transform(rows, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(s, r"^[^:]*:(.*)$", 1)).alias("value")))
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    entries = F.transform(rows, lambda s, i: F.struct(F.trim(F.regexp_extract(s, r"^([^:]*):", 1)).alias("key"), i.alias("i"), F.trim(F.regexp_extract(s, r"^[^:]*:(.*)$", 1)).alias("value")))
+    in_order = F.array_sort(entries)
+    paired = F.zip_with(in_order, F.slice(in_order, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda e, n: F.struct(e.alias("e"), (n.isNull() | (n["key"] != e["key"])).alias("last")))
+    last = F.transform(F.filter(paired, lambda p: p["last"]), lambda p: F.struct(p["e"]["i"].alias("i"), p["e"]["key"].alias("key"), p["e"]["value"].alias("value")))
+    return F.map_from_entries(F.transform(F.array_sort(last), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+
+def yaml_paths(text: str | None, sep: str = "/") -> dict[str, str] | None:
+    """Path to value of a block-style YAML text: nested maps, lists, comments, quotes, block texts.
+
+    One pass over the lines with a stack of (indent, path, next list number). List items are
+    numbered from 0 in the path. A code fence around the text is cut off; lines that are
+    neither ``key: value``, an item nor part of a block text are dropped. The last of equal
+    paths wins; a key without anything below has the value ``""``. Anchors, tags and flow
+    collections are plain text.
+    """
+    if text is None:
+        return None
+    found: dict[str, str] = {}
+    stack: list[list] = [[-1, "", 0]]  # indent of the line, its path, number of its next item
+    block = None  # (indent of its key, path, style, lines)
+
+    def join(path, name):
+        return f"{path}{sep}{name}" if path else name
+
+    def scalar(v: str) -> str:
+        v = v.strip()
+        if v[:1] in "'\"" and v:
+            end = v.find(v[0], 1)
+            while v[0] == "'" and end >= 0 and v[end : end + 2] == "''":
+                end = v.find("'", end + 2)
+            if end > 0:
+                return v[1:end].replace("''", "'") if v[0] == "'" else v[1:end]
+        at = 0 if v.startswith("#") else v.find(" #")
+        return v if at < 0 else v[:at].rstrip()
+
+    def close():
+        _, path, style, lines = block
+        least = min((len(x) - len(x.lstrip()) for x in lines if x.strip()), default=0)
+        found[path] = ("\n" if style == "|" else " ").join(x[least:].rstrip() for x in lines).strip()
+
+    for line in text.split("\n"):
+        line = line.rstrip("\r")
+        indent, body = len(line) - len(line.lstrip(" ")), line.strip()
+        if block is not None:
+            if not body or indent > block[0]:
+                block[3].append(line)
+                continue
+            close()
+            block = None
+        if not body or body.startswith(("#", "```")) or body in ("---", "..."):
+            continue
+        while True:
+            item = body == "-" or body.startswith("- ")
+            while stack[-1][0] > indent or (stack[-1][0] == indent and not (item and not stack[-1][3:])):
+                stack.pop()
+            if not item:
+                break
+            parent = stack[-1]
+            path = join(parent[1], str(parent[2]))
+            parent[2] += 1
+            found.pop(parent[1], None)
+            stack.append([indent, path, 0, True])
+            rest = body[1:].lstrip()
+            indent, body = indent + len(body) - len(rest), rest
+            if not body or not _KEY.match(body) and not body.startswith("- "):
+                found[path] = scalar(body)
+                body = ""
+                break
+        if not body:
+            continue
+        m = _KEY.match(body)
+        if m is None:
+            continue
+        path, value = join(stack[-1][1], scalar(m[1])), (m[2] or "").strip()
+        found.pop(stack[-1][1], None)
+        stack.append([indent, path, 0])
+        if value[:1] in ("|", ">") and len(value) <= 2:
+            block = (indent, path, value[0], [])
+        else:
+            found.pop(path, None)
+            found[path] = scalar(value)
+    if block is not None:
+        close()
+    return found
+
+
+#: A key in quotes or bare, a colon, and the rest behind a blank.
+_KEY = re.compile(r"""("[^"]*"|'[^']*'|[^\s:#'"\[{-][^:]*|-[^\s:][^:]*)\s*:(?:\s+(.*))?$""")
+
+
+def nested_yaml(x: Column) -> Column:
+    """Map of path to value of a nested YAML text (``yaml_paths``), parsed in Arrow batches."""
+
+    def run(texts):
+        return texts.map(yaml_paths)
+
+    import pandas as pd
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "map<string,string>")(x)
 
 
 def dump_yaml(fields: dict[str, Column]) -> Column:

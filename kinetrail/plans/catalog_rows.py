@@ -4,21 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality as Q
 from ..operators.positions import numbered
 from ..sources import layout
 from .base import FR, event_frames, query, r6, read
 
 
-@query("required_files_missing", "WITH e AS (SELECT DISTINCT user_id FROM events), f AS (SELECT user_id, format('data/chunk-{:03d}/episode_{:06d}.parquet', user_id // 50, user_id) AS path FROM e UNION ALL SELECT user_id, format('videos/chunk-{:03d}/side/episode_{:06d}.mp4', user_id // 50, user_id) FROM e) SELECT path FROM f WHERE NOT (user_id % 5 <> 0 OR path LIKE 'data/%')")
-def required_files(spark, d):
-    users = read(spark, d, "events").select("user_id").distinct()
-    both = F.array(layout.data_path(F.col("user_id"), 50), layout.video_path(F.col("user_id"), 50, "side"))
-    wanted = users.select("user_id", F.explode(both).alias("path"))
-    present = wanted.filter((F.col("user_id") % 5 != 0) | F.col("path").startswith("data/"))  # stands for a folder listing
-    return Q.missing_files(wanted, present, "path").select("path")
-
-
 @query("path_to_episode", "SELECT DISTINCT user_id, user_id::INTEGER AS episode FROM events")
 def path_to_episode(spark, d):
     users = read(spark, d, "events").select("user_id").distinct()

@@ -49,8 +49,10 @@ def split(spark, d):
 
 @query("membership_split", f"WITH v AS (SELECT source FROM (SELECT DISTINCT source FROM documents) WHERE {u('source', 5)} < 0.2) SELECT doc_id, CASE WHEN v.source IS NULL THEN 'train' ELSE 'val' END AS split FROM documents d LEFT JOIN v USING (source)")
 def membership(spark, d):
+    """Documents of the listed sources are ``val``; the list is a table that is joined."""
     docs = read(spark, d, "documents").select("doc_id", "source")
-    return docs.select("doc_id", F.when(hash_uniform("source", 5) < 0.2, "val").otherwise("train").alias("split"))
+    listed = docs.select("source").distinct().filter(hash_uniform("source", 5) < 0.2).withColumn("__val", F.lit(True))
+    return docs.join(listed, "source", "left").select("doc_id", F.when(F.col("__val"), "val").otherwise("train").alias("split"))
 
 
 @query("weighted_resample", f"SELECT doc_id, i AS copy FROM (SELECT doc_id, unnest(range(1, 3 + CASE WHEN {u('doc_id', 7)} < 0.5 THEN 1 ELSE 0 END))::INTEGER AS i FROM documents)")
@@ -215,19 +217,15 @@ def monotonic(spark, d):
     return out.select("event_id", r6(F.col("value"), "value"), r6(F.col("before"), "before"))
 
 
-@query("spec_validation", "SELECT * FROM (VALUES ('t1', 'duplicate_id'), ('t3', 'last_state_not_done')) v(task_id, problem)")
+@query("spec_validation", "WITH s AS (SELECT conv_id, count(*) AS n, arg_max(role, turn) AS last FROM conversations GROUP BY 1), p AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE n > 4) SELECT conv_id::VARCHAR AS task_id, 'last_state_not_done' AS problem FROM p WHERE last <> 'assistant' UNION ALL SELECT conv_id::VARCHAR, 'duplicate_id' FROM p GROUP BY 1 HAVING count(*) > 1")
 def spec_validation(spark, d):
+    """Conversations as specs whose states are turns, done when the assistant has the last word; long ones are listed twice."""
     from ..operators.memory import spec_problems
 
-    cell = lambda c: F.struct(F.lit(c).alias("command"))
-    grid = lambda *rows: F.array(*[F.array(*[cell(c) for c in r]) for r in rows])
-    one = spark.range(1)
-    specs = [("t1", grid(["a", "done"])), ("t1", grid(["b", "done"])), ("t2", grid(["a", "b"], ["c", "done"])), ("t3", grid(["a", "b"]))]
-    table = None
-    for name, g in specs:
-        row = one.select(F.lit(name).alias("task_id"), g.alias("grid"))
-        table = row if table is None else table.unionByName(row)
-    return spec_problems(table)
+    state = F.struct("turn", F.struct(F.when(F.col("role") == "assistant", "done").otherwise(F.col("role")).alias("command")).alias("cell"))
+    turns = F.transform(F.array_sort(F.collect_list(state)), lambda s: s["cell"])  # turns of one conversation
+    specs = read(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("task_id")).agg(F.array(turns).alias("grid"))
+    return spec_problems(specs.unionByName(specs.filter(F.size(F.col("grid")[0]) > 4)))
 
 
 @query("majority_vote", "WITH c AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END) AS k FROM c) SELECT user_id, event_type, votes FROM r WHERE k = 1")

@@ -45,9 +45,11 @@ def detect(spark, d):
 TRANS = f"{SPEC}, tr AS (SELECT task_id, event_type, inter, step, command AS command_from, lead(inter) OVER w AS inter_to, lead(step) OVER w AS step_to, lead(command) OVER w AS command_to FROM spec WINDOW w AS (PARTITION BY task_id ORDER BY inter, step)), tc AS (SELECT task_id, event_type, CASE WHEN inter = inter_to THEN 'intra' ELSE 'task_change' END AS kind, inter, step, command_from, inter_to, step_to, command_to FROM tr WHERE inter_to IS NOT NULL)"
 
 
-@query("memory_transitions", f"WITH {TRANS} SELECT task_id, kind, inter, step, command_from, inter_to, step_to, command_to FROM tc")
+@query("memory_transitions", "WITH t AS (SELECT conv_id AS task_id, turn // 2 AS inter, turn % 2 AS step, role AS command FROM conversations), n AS (SELECT *, lead(inter) OVER w AS inter_to, lead(step) OVER w AS step_to, lead(command) OVER w AS command_to FROM t WINDOW w AS (PARTITION BY task_id ORDER BY inter, step)) SELECT task_id, CASE WHEN inter = inter_to THEN 'intra' ELSE 'task_change' END AS kind, inter, step, command AS command_from, inter_to, step_to, command_to FROM n WHERE inter_to IS NOT NULL")
 def transitions(spark, d):
-    return R.transitions(spec_table(spark))
+    """Conversations as tasks of two states a row: the changes from turn to turn."""
+    turn = F.col("turn")
+    return R.transitions(read(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), F.floor(turn / 2).alias("inter"), (turn % 2).alias("step"), F.col("role").alias("command")))
 
 
 @query("update_rows", f"WITH {FR}, {TRANS} SELECT event_id, tc.task_id, inter, step, 'update_' || kind AS label, command_from, command_to FROM fr JOIN tc USING (event_type) WHERE value >= 90")
@@ -187,9 +189,9 @@ def identifiers(spark, d):
     return read(spark, d, "events").select("event_id", X.row_identifier(uid, F.when(k == 1, F.lit("c")), F.col("user_id"), F.col("event_id")).alias("rid"))
 
 
-@query("url_dataset_names", "SELECT page_id, split_part(url, '/', -2) AS grand, translate(url, ':/', '__') AS safe FROM pages")
+@query("url_dataset_names", "SELECT page_id, CASE WHEN url LIKE '%/videos/%' THEN split_part(split_part(url, '/videos/', 1), '/', -1) ELSE split_part(url, '/', -3) END AS grand, translate(url, ':/', '__') AS safe FROM pages")
 def names(spark, d):
-    return read(spark, d, "pages").select("page_id", F.element_at(F.split("url", "/"), -2).alias("grand"), X.safe_name(F.col("url")).alias("safe"))
+    return read(spark, d, "pages").select("page_id", X.dataset_name(F.col("url")).alias("grand"), X.safe_name(F.col("url")).alias("safe"))
 
 
 @query("two_sentences", r"WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations), p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(t, '.'), lambda x: trim(x)), lambda x: x <> '') AS p FROM t) SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN array_to_string(p[1:2], '. ') || '.' ELSE '' END AS short FROM p")

@@ -1,4 +1,9 @@
-"""JSON lines: strict and tolerant readers, sharded writer."""
+"""JSON lines: strict and tolerant readers with line numbers, appends, sharded writer.
+
+Files are split into blocks; the lines of each block are counted, and the counts of the
+blocks before are a line's offset in its file. No file is held in memory, and of the counts there
+is one row a block.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +13,49 @@ from pyspark.sql import functions as F
 from ..operators.merge import shard_ids
 
 
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """Every line, blank ones too: file, line (from 1), place (from 1, over files by name), raw.
+
+    Lines end at LF; a CR before it is cut off. Inside a task Spark's row ids go on by one a line,
+    so a line's number in its block is its id less the least id of the block.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", r"\r$", "").alias("raw"))
+    blocks = rows.groupBy("file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    in_file = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("__before", F.sum("__n").over(in_file) - F.col("__n"))
+    files = {r["file"]: r["n"] for r in blocks.groupBy("file").agg(F.sum("__n").alias("n")).collect()}  # one row a file, as in Spark's own listing
+    upto, starts = 0, []
+    for f in sorted(files):
+        starts.append((f, upto))
+        upto += files[f]
+    blocks = blocks.join(F.broadcast(spark.createDataFrame(starts, "file string, __from long")), "file")
+    line = F.col("__id") - F.col("__first") + F.col("__before") + 1
+    return rows.join(F.broadcast(blocks), ["file", "__block"]).select("file", line.alias("line"), (line + F.col("__from")).alias("place"), "raw")
+
+
+def _parsed(lines: DataFrame, schema: str) -> tuple[DataFrame, list[str]]:
+    """Non-blank lines with ``_v``, whose ``_bad`` is the line if it is no object of the schema."""
+    rows = lines.filter(F.trim("raw") != "").withColumn("_v", F.from_json("raw", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return rows, [f.name for f in rows.schema["_v"].dataType.fields if f.name != "_bad"]
+
+
 def read_strict(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
-    """Blank lines are skipped, a bad line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
+    """The rows of all lines; blank lines are skipped, a bad line is an error that names file and line."""
+    rows, names = _parsed(numbered_lines(spark, path, glob), schema)
+    bad = F.raise_error(F.concat(F.lit("JSON parse error: "), "file", F.lit(" line "), F.col("line").cast("string"), F.lit(": "), F.substring("raw", 1, 200))).cast("boolean")
+    return rows.filter(F.when(F.col("_v._bad").isNull(), F.lit(True)).otherwise(bad)).select(*[F.col(f"_v.`{n}`").alias(n) for n in names])
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
-    """Every non-blank line with its file and line number; a bad one has ``error`` and ``raw``.
+    """Every non-blank line with its file and line number; a bad one has ``error`` and ``raw``."""
+    rows, names = _parsed(numbered_lines(spark, path, glob), schema)
+    return rows.select("file", "line", "raw", F.when(F.col("_v._bad").isNotNull(), "bad_json").alias("error"), *[F.col(f"_v.`{n}`").alias(n) for n in names])
 
-    Files are read whole, as line numbers need: a shard is bounded by its writer.
-    """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    lines = files.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw")).filter(F.trim("raw") != "")
-    parsed = lines.withColumn("line", F.col("line") + 1).withColumn("_v", F.from_json("raw", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    names = [f.name for f in parsed.schema["_v"].dataType.fields if f.name != "_bad"]
-    return parsed.select("file", "line", "raw", F.when(F.col("_v._bad").isNotNull(), "bad_json").alias("error"), *[F.col(f"_v.`{n}`").alias(n) for n in names])
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """The rows of ``df`` as further files of JSON lines; what the folder holds stays."""
+    df.write.mode("append").json(path)
 
 
 def last_per_key(rows: DataFrame, key: str) -> DataFrame:
