@@ -8,10 +8,12 @@ blocks in the order of that bound and scores them through their forward indexes
 the bound falls below its k-th score; equal bounds are still scored, so ties are
 settled exactly.
 
-Document blocks are shuffled once, to cells of bounded size; the stated query set is
-sent to every cell and streams past the blocks that the cell holds. Before that all
-queries meet one cell's blocks: their k-th scores there go with them as seeds, so every
-other cell prunes, and returns rows, from the seed on. A window keeps the k best.
+Document blocks are shuffled once, to cells of bounded size; queries stream past the blocks
+that a cell holds. First all queries meet one cell's blocks: their k-th scores there are their
+seeds. Every cell has the largest and smallest value per term over its blocks, so a query's bound
+for the whole cell is known before the shuffle, and it is sent only to cells whose bound reaches
+its seed. These bounds go out by broadcast; where all cells' would take more than
+``BOUND_BYTES``, neighbouring cells share one. A window keeps the k best.
 
 Defined results. Vectors that are null, or hold null or non-finite components,
 take no part. Only vectors of equal length meet. A candidate with the query's id
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 
 K, SCALE, BLOCK_ROWS, BLOCK_BYTES, GROUP_BYTES, QUERY_ROWS = 10, 1024.0, 64, 1 << 15, 16 << 20, 2048
-LEAST = np.iinfo(np.int64).min
+LEAST, BOUND_BYTES = np.iinfo(np.int64).min, 64 << 20
 BLOCK = "part int, dim int, no int, n int, ids binary, marks binary, forward binary, highest binary, lowest binary"
+SENT = "cell int, kind int, part int, dim int, no int, ids binary, marks binary, forward binary, highest binary, lowest binary, seeds binary"
 CELL = ["cell", "kind", "part", "dim", "no", "ids", "marks", "forward", "highest", "lowest", "seeds"]
 
 
@@ -115,6 +118,57 @@ def prune_and_score(query_ids, queries, blocks, k: int = K, seeds=None):
     return top_s, top_i, np.minimum(found, k), scored
 
 
+def _bounds(width: int):
+    """Blocks to one row (group of ``width`` cells, dim, highest, lowest) each that the task has seen."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for part, dim, high, low in zip(*(b.column(c).to_pylist() for c in range(4))):
+                high, low, key = np.frombuffer(high, np.int64), np.frombuffer(low, np.int64), (part // width, dim)
+                held[key] = [np.maximum(held[key][0], high), np.minimum(held[key][1], low)] if key in held else [high, low]
+        if held:
+            columns = [pa.array([k[i] for k in held], pa.int32()) for i in (0, 1)] + [pa.array([v[i].tobytes() for v in held.values()], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "dim", "highest", "lowest"])
+
+    return run
+
+
+def reached(queries: np.ndarray, seeds: np.ndarray, highest: np.ndarray, lowest: np.ndarray) -> np.ndarray:
+    """(queries, groups of cells): whether the bound of the group reaches the query's seed."""
+    kind = exact_kind(queries, [(None, None, highest, lowest)])
+    own = queries.astype(kind)
+    return np.maximum(own, 0) @ highest.astype(kind).T + np.minimum(own, 0) @ lowest.astype(kind).T >= seeds[:, None]
+
+
+def _sent(shared, width: int, groups: int):
+    """Query blocks with seeds to the part of each that a cell has to see, one row a cell."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [("cell", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("dim", pa.int32()), ("no", pa.int32()), *[(c, pa.binary()) for c in CELL[5:]]]
+        for b in batches:
+            for r in b.to_pylist():
+                if r["dim"] not in shared.value:
+                    continue
+                names, highest, lowest = shared.value[r["dim"]]
+                ids, marks = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64)
+                forward = np.frombuffer(r["forward"], np.int64).reshape(len(ids), r["dim"])
+                seeds = np.full(len(ids), LEAST) if r["seeds"] is None else np.frombuffer(r["seeds"], np.int64)
+                hit, out = reached(forward, seeds, highest, lowest), []
+                for g in np.flatnonzero(hit.any(0)).tolist():
+                    q = hit[:, g]
+                    row = (1, r["part"], r["dim"], r["no"], ids[q].tobytes(), marks[q].tobytes(), forward[q].tobytes(), None, None, seeds[q].tobytes())
+                    out += [(cell, *row) for cell in range(names[g] * width, min(groups, (names[g] + 1) * width))]
+                for k in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out[k : k + 64]), kinds)], names=[n for n, _ in kinds])
+
+    return run
+
+
 def _cells(k: int, ahead: bool):
     """Rows come sorted by cell, blocks (kind 0) before queries (kind 1).
 
@@ -173,7 +227,7 @@ def topk_search(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", v
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = own.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(F.forall("v", finite)).withColumn("mark", F.monotonically_increasing_id())
     valid = ws.write(valid, "valid")
-    rows, size, asked = valid.agg(F.count(F.lit(1)), F.sum(F.size("v") * 8 + 16), F.count(F.when(F.col("query"), 1))).first()
+    rows, size, asked, most = valid.agg(F.count(F.lit(1)), F.sum(F.size("v") * 8 + 16), F.count(F.when(F.col("query"), 1)), F.max(F.size("v"))).first()
     groups = max(1, -(-(size or 0) // GROUP_BYTES), min(spark.sparkContext.defaultParallelism, -(-rows // (16 * BLOCK_ROWS))))
     pack = lambda df, n: df.repartitionByRange(n, "id", "mark").select("id", "mark", "v").mapInArrow(_pack(scale), BLOCK)
     blocks = ws.write(pack(valid, groups).withColumn("kind", F.lit(0)).withColumn("seeds", F.lit(None).cast("binary")), "blocks")
@@ -184,10 +238,17 @@ def topk_search(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", v
         spread = max(1, -(-asked // QUERY_ROWS))
         ahead = met(blocks.filter("part = 0").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), queries.withColumn("cell", F.col("part") % spread).withColumn("seeds", F.lit(None).cast("binary")), spread)
         seeds = ws.write(ahead.mapInArrow(_cells(k, True), "part int, dim int, no int, seeds binary"), "seeds")
-        queries = queries.join(seeds, ["part", "dim", "no"], "left")
+        width = -(-groups * 16 * max(1, most) // BOUND_BYTES)
+        known: dict[int, dict] = {}
+        for r in blocks.select("part", "dim", "highest", "lowest").mapInArrow(_bounds(width), "part int, dim int, highest binary, lowest binary").toLocalIterator():  # at most about BOUND_BYTES
+            own, high, low = known.setdefault(r["dim"], {}), np.frombuffer(r["highest"], np.int64), np.frombuffer(r["lowest"], np.int64)
+            own[r["part"]] = (np.maximum(own[r["part"]][0], high), np.minimum(own[r["part"]][1], low)) if r["part"] in own else (high, low)
+        bounds = {dim: (list(own), np.stack([h for h, _ in own.values()]), np.stack([low for _, low in own.values()])) for dim, own in known.items()}
+        sent = queries.join(seeds, ["part", "dim", "no"], "left").select("part", "dim", "no", "ids", "marks", "forward", "seeds")
+        queries = ws.write(sent.mapInArrow(_sent(spark.sparkContext.broadcast(bounds), width, groups), SENT), "sent")
     else:
-        queries = queries.withColumn("seeds", F.lit(None).cast("binary"))
-    cells = met(blocks.withColumn("cell", F.col("part")), queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), groups)
+        queries = queries.withColumn("seeds", F.lit(None).cast("binary")).withColumn("cell", F.lit(0))
+    cells = met(blocks.withColumn("cell", F.col("part")), queries, groups)
     found = cells.mapInArrow(_cells(k, False), "query_id long, mark long, vec_id long, score long")
     best = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
     return ws.result(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
