@@ -5,8 +5,9 @@ of an earlier capture with the same payload) and a metadata record. Request and
 metadata name the response in ``WARC-Concurrent-To``. Spark's text writer writes
 the archives: a row is one record without its closing two line ends, which are the
 writer's separator. So archives land on any file system that Spark can reach.
-Archives are read as whole files; their number follows the total size, so that a
-file holds about ``file_bytes``, or one record where that alone is larger.
+Archives are read as whole files, so their bytes are bounded: pages are written in classes of
+size, the first up to ``file_bytes`` / ``file_pages``, each next one eight times larger, and an archive
+of a class holds as many captures as fit in ``file_bytes`` at that size, one at least.
 
 ``assemble`` brings the records of a capture together by the concurrent-to
 identifiers with one grouping and emits one nested row per capture.
@@ -22,6 +23,7 @@ reader goes by Content-Length alone.
 from __future__ import annotations
 
 import gzip
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 
 CRLF = "\r\n"
-FILE_RECORDS, BROADCAST_ROWS = 3 * 1024, 100_000
+FILE_BYTES, FILE_PAGES, BROADCAST_ROWS, CLASS = 256 << 20, 1024, 100_000, 8
 DIGITS32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, http_headers string, payload binary, fields map<string,string>"
 
@@ -45,8 +47,11 @@ def _lines(*pairs):
     return F.concat_ws(CRLF, *[F.concat(F.lit(f"{k}: "), v) for k, v in pairs])
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
-    """Write one transaction per row of ``pages`` to WARC files under ``path``."""
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, file_pages: int = FILE_PAGES) -> None:
+    """Write one transaction per row of ``pages`` to WARC files under ``path``.
+
+    The payloads of a file have at most ``file_bytes`` bytes, or it holds one capture.
+    """
     ws = Workspace(pages.sparkSession, "warc")
     uri = F.replace(F.replace(F.coalesce(F.col(url).cast("string"), F.lit("about:blank")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
@@ -82,7 +87,11 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         F.when(revisit, again).otherwise(full),
         record(head(F.lit("metadata"), me("metadata"), ("WARC-Concurrent-To", response)), "application/warc-fields", facts),
     )
-    known.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
+    least = max(1, file_bytes // file_pages)
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("bytes"), F.lit(1)) / float(least)) / math.log(CLASS) - 1e-9)).cast("int")
+    for c in sorted(r[0] for r in rows.select(level.alias("c")).distinct().collect()) or [0]:  # a few classes of size
+        own = known.filter(level == c).select(F.explode(records).alias("value"))
+        own.write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * max(1, file_bytes // (least * CLASS**c))).option("compression", "gzip").text(path)
     ws.drop("rows", "later")
 
 
@@ -161,13 +170,13 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     captures = assemble(read_warc(spark, f"{ws.path}/archive"))
     full = F.col("response.record_type") == "response"
     page = lambda x: F.when(x != "", x).cast("long")
-    return captures.select(
+    return ws.result(captures.select(
         page(F.col("metadata.fields")["page-id"]).alias("page_id"),
         F.when(full, F.octet_length("response.payload")).otherwise(F.regexp_extract("response.http_headers", r"Content-Length: ([0-9]+)", 1)).cast("long").alias("payload_bytes"),
         F.when(full, base32_sha1(F.col("response.payload"))).otherwise(F.substring_index("response.payload_digest", ":", -1)).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         page(F.split_part(F.col("response.refers_to"), F.lit(":"), F.lit(3))).alias("refers_to"),
-    )
+    ))
 
 
 ORACLE = f"""
