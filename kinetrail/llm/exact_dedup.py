@@ -3,7 +3,9 @@
 1. Each row is reduced to (id, digest); digests are SHA-256 of the text.
 2. Every partition keeps a Misra-Gries sketch of ``capacity`` counters. Summed
    over partitions a counter undershoots by at most rows / (capacity + 1), so at
-   most ``capacity`` digests reach rows / capacity: a proven bound.
+   most ``capacity`` digests reach rows / capacity: a proven bound. The capacity follows the
+   rows: it is what keeps a light digest under about ``LIGHT_ROWS`` rows, 1,024 at least and
+   65,536 at most.
 3. Those candidates are counted exactly; the verified winners (digest, row that
    stays, size) are broadcast and their rows are settled on the map side.
 4. The other digests, none of which is frequent, use an ordinary shuffle.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
-CAPACITY, BROADCAST_GROUPS = 1024, 500_000
+CAPACITY, MOST_CAPACITY, LIGHT_ROWS, BROADCAST_GROUPS = 1024, 65_536, 1_000_000, 500_000
 
 
 def misra_gries(counts: dict, batch: dict, capacity: int) -> dict:
@@ -54,8 +56,10 @@ def _sketch(capacity: int):
     return run
 
 
-def _winners(ids: DataFrame, ws: Workspace, capacity: int) -> DataFrame:
+def _winners(ids: DataFrame, ws: Workspace, capacity: int | None) -> DataFrame:
     """Digests that are truly frequent, with the row that stays and the size."""
+    if capacity is None:
+        capacity = max(CAPACITY, min(MOST_CAPACITY, 2 * ids.count() // LIGHT_ROWS))
     sketch = ws.write(ids.select("__xd_digest").mapInArrow(_sketch(capacity), "__xd_digest binary, estimate long, seen long"), "sketch")
     rows = sketch.agg(F.sum("seen")).first()[0] or 0
     frequent = max(2, -(-rows // capacity))
@@ -72,7 +76,7 @@ def _digest(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int | None = None) -> DataFrame:
     """One row per input row: key, keep_id, group_size, kept, text_sha256."""
     ws = Workspace(docs.sparkSession, "exact")
     ids = ws.write(docs.select(F.col(key).alias("__xd_id"), _digest(text).alias("__xd_digest")).withColumn("__xd_row", F.monotonically_increasing_id()), "ids")
@@ -84,16 +88,16 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", capac
         .withColumn("__xd_stays", F.max(F.struct("__xd_id", "__xd_row")).over(same))
         .withColumn("__xd_size", F.count(F.lit(1)).over(same))
     )
-    return heavy.unionByName(light).select(
+    return ws.result(heavy.unionByName(light).select(
         F.col("__xd_id").alias(key),
         F.col("__xd_stays.__xd_id").alias("keep_id"),
         F.col("__xd_size").alias("group_size"),
         (F.col("__xd_stays.__xd_row") == F.col("__xd_row")).alias("kept"),
         F.lower(F.hex("__xd_digest")).alias("text_sha256"),
-    )
+    ))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, all columns kept.
 
     Winners are settled on (digest, id) alone; only groups of two rows and more come back

@@ -33,6 +33,30 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.topk_search(frame.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [1 << 26, 64])
+def test_queries_go_only_to_cells_that_reach_their_seed(spark, monkeypatch, bound):
+    """Cells of falling magnitude: the first settles the positive queries, the last the negative ones."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(0.9, 1.0) * (1.0 - i / 1000) * 8 for _ in range(4)]) for i in range(800)]
+    rows = [(i, [-x for x in v] if i % 400 == 100 else v) for i, v in rows]
+    for name, n in (("BLOCK_ROWS", 8), ("GROUP_BYTES", 2000), ("QUERY_ROWS", 3), ("BOUND_BYTES", bound)):
+        monkeypatch.setattr(topk, name, n)
+    sent: dict[str, int] = {}
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, *a: sent.__setitem__(name, out := write(self, df, name, *a)) or out)
+    monkeypatch.setattr(Workspace, "result", lambda self, df: df)
+    got = [tuple(r) for r in topk.topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=3).collect()]
+    q = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for i in range(0, 800, 100):
+        best = sorted((-sum(a * b for a, b in zip(q[i], u)), j) for j, u in q.items() if j != i)[:3]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+    cells = -(-800 * (4 * 8 + 16) // 2000)
+    many = sent["sent"].selectExpr("sum(length(ids) / 8)").first()[0]  # pairs of a query and a cell
+    assert 8 <= many <= 8 * cells and (bound == 64 or many < 0.6 * 8 * cells)
+
+
 def test_topk_of_large_components(spark):
     frame = spark.createDataFrame([(1, [131072.0, 0.0]), (100, [1.0, 0.0]), (2, [1e12, -1.0]), (3, []), (200, [])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.topk_search(frame, F.col("vec_id") % 100 == 0).collect()]
@@ -64,7 +88,7 @@ def test_warc_round_trip(spark):
     rows = [(5, "http://a/", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (8, "x\r\nInjected: 1", ""), (4, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (3, "http://b/", "<p>é</p>"), (None, "n", "<p>é</p>"), (7, "big", "z" * 200_000)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], PAGES).repartition(2)
     ws = Workspace(spark, "test")
-    warc.write_warc(frame, f"{ws.path}/a", file_records=6)
+    warc.write_warc(frame, f"{ws.path}/a", file_bytes=1 << 16, file_pages=4)
     records = warc.read_warc(spark, f"{ws.path}/a")
     assert records.count() == 3 * len(rows)
     got = warc.assemble(records).collect()
@@ -77,6 +101,9 @@ def test_warc_round_trip(spark):
             assert r["response"]["refers_to"].split(":")[2] in ("3", "8")
     sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     assert {r["response"]["payload_digest"] for r in got} == {"sha1:" + sha(h or "") for _, _, h in rows}
+    files = spark.read.format("binaryFile").load(f"{ws.path}/a").select("content").collect()
+    held = [[len(r["payload"] or b"") for r in warc.parse_warc(bytes(f["content"])) if r["record_type"] != "metadata"] for f in files]
+    assert sum(map(len, held)) == 2 * len(rows) and all(sum(x) <= 1 << 16 or len(x) == 2 for x in held) and max(map(sum, held)) == 200_000
     warc.write_warc(frame, f"{ws.path}/b", least_bytes=1)
     assert sum(r["response"]["record_type"] == "response" for r in warc.assemble(warc.read_warc(spark, f"{ws.path}/b")).collect()) == 5
     warc.write_warc(frame.limit(0), f"{ws.path}/c")
