@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, tidy
+from .common import KEPT, Workspace, table, tidy
 from .shingles import column_slices
 
 MODEL_A, MODEL_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
@@ -200,6 +200,7 @@ def _aligner(models: tuple[bytes, bytes]) -> Aligner:
     if key not in _ALIGNERS:
         _ALIGNERS.clear()
         _ALIGNERS[key] = Aligner(*models)
+    KEPT["alignment"] = _ALIGNERS.clear
     return _ALIGNERS[key]
 
 
@@ -298,7 +299,7 @@ def align(docs: DataFrame, text: str = "text", key: str = "doc_id", model_a: str
     size_b = Pieces(models[1]).size
     shared = spark.sparkContext.broadcast(tuple(models))  # two vocabularies
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = ws.write(rows.mapInArrow(tidy(_align(shared)), ROWS), "aligned", compression="zstd")
+    found = ws.write(rows.mapInArrow(tidy(_align(shared), "alignment"), ROWS), "aligned", compression="zstd")
     sums = found.filter("pair is not null").groupBy("pair").agg(F.sum("links").alias("links")).withColumn("id_b", F.col("pair") % size_b)
     sums = ws.write(sums, "sums")
     top = sums.groupBy("id_b").agg(F.max("links").alias("most"))  # one row for each B id, a vocabulary

@@ -85,11 +85,16 @@ def bounded_rows(rows: DataFrame, key: str, n: int) -> list:
     return rows.join(F.broadcast(ids), key).groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select("r.*").collect()
 
 
-def tidy(run):
+#: What workers keep for later tasks: how to forget it, by the operator that keeps it.
+KEPT: dict = {}
+
+
+def tidy(run, operator: str = ""):
     """``run`` for mapInArrow, which gives freed memory back when its partition is done.
 
     Spark keeps Python workers for the next stage; what their allocators hold counts
-    against the executor all the while.
+    against the executor all the while. A worker that turns to another operator first
+    forgets what the last one has ``KEPT``.
     """
 
     def tidied(batches):
@@ -97,6 +102,10 @@ def tidy(run):
 
         import pyarrow as pa
 
+        from kinetrail.llm.common import KEPT
+
+        for other in [o for o in KEPT if o != operator]:
+            KEPT.pop(other)()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

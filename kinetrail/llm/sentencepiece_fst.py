@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import KEPT, table, tidy
 from .shingles import column_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -231,6 +231,7 @@ def compiled(model: dict) -> Transducer:
     if model["key"] not in _COMPILED:
         _COMPILED.clear()
         _COMPILED[model["key"]] = Transducer(model)
+    KEPT["sentencepiece"] = _COMPILED.clear
     return _COMPILED[model["key"]]
 
 
@@ -272,7 +273,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep_text: b
     place = {n: i for i, n in enumerate(rows.columns)}
     places = [0 if c == text else place[n] for c, n in zip(kept, inner)]
     kinds = ", ".join(f"{n} {'string' if c == text else docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, inner))
-    out = rows.mapInArrow(tidy(_run(shared, 0, places, [*inner, *added])), f"{kinds}{', ' if kinds else ''}ids array<int>, n_tokens long, round_trip boolean")
+    out = rows.mapInArrow(tidy(_run(shared, 0, places, [*inner, *added]), "sentencepiece"), f"{kinds}{', ' if kinds else ''}ids array<int>, n_tokens long, round_trip boolean")
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, inner)], *added)
 
 
