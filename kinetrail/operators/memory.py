@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed_uid
+from .positions import checkpointed
 from .sampling import hash_rank, negatives, split_episodes
 
 
@@ -94,7 +95,8 @@ def build(frames: DataFrame, spec: DataFrame, is_event, episode: str, on: str, r
 
     DETECT: a row per frame and non-final state. UPDATE: a row per event frame and state
     change inside a row, and the transition row of each episode. Shards of ``shard`` rows per
-    (mode, split) hold a seeded shuffle, so that no shard is one task's run.
+    (mode, split) hold a seeded shuffle, so that no shard is one task's run. The rows are made
+    once and checkpointed, for the ranks read them twice. Without frames there are no rows.
     """
     keep = ["task_id", episode, "inter", "step", "frame_index", "label"]
     detect = detect_rows(frames, spec, episode, is_event, on).select(*keep).withColumn("mode", F.lit("DETECT"))
@@ -106,11 +108,15 @@ def build(frames: DataFrame, spec: DataFrame, is_event, episode: str, on: str, r
     split = split_episodes(frames.select(episode).distinct(), episode, ratio, True, seed)
     rows = detect.unionByName(update).unionByName(turn).join(split, episode)
     rows = rows.withColumn("uid", F.concat_ws("-", "label", "task_id", F.col(episode).cast("string"), F.col("inter").cast("string"), F.col("step").cast("string"), F.col("frame_index").cast("string")))
-    ranked = hash_rank(rows.withColumn("__g", F.concat_ws("/", "mode", "split")), "__g", "uid", seed, "__k")
+    ranked = hash_rank(checkpointed(rows).withColumn("__g", F.concat_ws("/", "mode", "split")), "__g", "uid", seed, "__k")
     return ranked.withColumn("shard", F.floor(F.col("__k") / shard)).drop("__g", "__k", "__k_of")
 
 
-def write_build(rows: DataFrame, path: str, meta: dict) -> None:
-    """JSON lines in a folder per mode, split and shard, and one row of meta beside them."""
-    rows.repartition("mode", "split", "shard").sortWithinPartitions("mode", "split", "shard", "uid").write.partitionBy("mode", "split", "shard").json(f"{path}/rows")
+def write_build(rows: DataFrame, path: str, meta: dict, shard: int = 500) -> None:
+    """JSON lines in a folder per mode and split, files of at most ``shard`` rows in order of shards, and one row of meta.
+
+    An empty build leaves its meta row and a rows folder without lines.
+    """
+    placed = rows.repartitionByRange("mode", "split", "shard").sortWithinPartitions("mode", "split", "shard", "uid")
+    placed.write.partitionBy("mode", "split").option("maxRecordsPerFile", shard).json(f"{path}/rows")
     rows.sparkSession.createDataFrame([{k: str(v) for k, v in meta.items()}]).coalesce(1).write.json(f"{path}/meta")

@@ -45,6 +45,29 @@ def label_rules(output: Column, statuses: list[str], longest: int = 512) -> dict
     return rules
 
 
+def target_rules(target: Column, statuses: list[str], longest: int = 512) -> dict[str, Column]:
+    """Rules of a target given as JSON text with status, desc_1 and desc_2; a null text breaks none.
+
+    Text that is no JSON, or no object, breaks that rule alone. A description that is absent, not a
+    string or blank is empty; a status counts only as a string.
+    """
+    value = F.try_parse_json(target)
+    kind = F.schema_of_variant(value)
+    off = lambda c: F.coalesce(c, F.lit(False))
+    whole = off(kind.startswith("OBJECT"))
+    own = lambda k: F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string"))
+    rules = {
+        "label_target_text_not_json": target.isNotNull() & value.isNull(),
+        "label_target_text_not_dict": off(~kind.startswith("OBJECT")),
+        "label_status_invalid": whole & ~off(own("status").isin(statuses)),
+    }
+    for k, name in (("desc_1", "desc1"), ("desc_2", "desc2")):
+        text = F.regexp_replace(F.coalesce(own(k), F.lit("")), r"^\s+|\s+$", "")
+        rules[f"label_{name}_empty"] = whole & (text == "")
+        rules[f"label_{name}_too_long"] = whole & (F.length(text) > longest)
+    return rules
+
+
 def image_rules(images: Column, cameras: Column, millis: Column, strict: bool = False) -> dict[str, Column]:
     """Rules of a map of image paths, the list of cameras and a time given as text; null breaks none of them."""
     off = lambda c: F.coalesce(c, F.lit(False))

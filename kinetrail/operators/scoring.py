@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def majority(df: DataFrame, by: str, status: str, priority: list[str], order: Column | None = None) -> DataFrame:
+def majority(df: DataFrame, by: str, status: str, priority: list[str]) -> DataFrame:
     """Most frequent status per group; ties by priority."""
     rank = F.coalesce(*[F.when(F.col(status) == s, F.lit(i)) for i, s in enumerate(priority)], F.lit(len(priority)))
     counts = df.groupBy(by, status).agg(F.count(F.lit(1)).alias("votes"))

@@ -90,7 +90,12 @@ def test_votes_and_rules(spark):
 def test_build_and_sinks(spark, tmp_path):
     frames = spark.createDataFrame([(u, f, "view" if f % 2 else "purchase", float(90 * (f > 2))) for u in range(4) for f in range(9)], "user_id long, frame_index int, event_type string, value double")
     rows = memory.build(frames, spec_table(spark), F.col("value") >= 90, "user_id", "event_type", 0.5, 10)
-    memory.write_build(rows, str(tmp_path / "b"), {"ratio": 0.5})
+    memory.write_build(rows, str(tmp_path / "b"), {"ratio": 0.5}, 10)
+    assert {p.parent.name for p in (tmp_path / "b" / "rows").glob("*/*/*.json")} <= {"split=train", "split=val"}
+    assert max(len(p.read_text().splitlines()) for p in (tmp_path / "b" / "rows").glob("*/*/*.json")) <= 10
+    none = memory.build(frames.limit(0), spec_table(spark), F.col("value") >= 90, "user_id", "event_type", 0.5, 10)
+    memory.write_build(none, str(tmp_path / "none"), {"ratio": 0.5})
+    assert none.count() == 0 and not list((tmp_path / "none" / "rows").glob("*/*/*.json")) and spark.read.json(str(tmp_path / "none" / "meta")).count() == 1
     back = spark.read.json(str(tmp_path / "b" / "rows"))
     assert back.count() == rows.count() == back.select("uid").distinct().count()
     turn = {(r["user_id"], r["frame_index"]) for r in back.filter("label = 'update_transition'").collect()}
