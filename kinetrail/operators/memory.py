@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hashed_uid
+from ..functions.text import hashed_uid, strip_text
 from .positions import checkpointed
+from .quality import issues
 from .sampling import hash_rank, negatives, split_episodes
 
 
@@ -23,6 +24,61 @@ def spec_problems(specs: DataFrame) -> DataFrame:
     return twice.unionByName(specs.filter(final != "done").select("task_id", F.lit("last_state_not_done").alias("problem")))
 
 
+def shape_problems(specs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (task_id, issue) per rule that a spec's shape breaks.
+
+    ``specs`` has task_id, inter int, intra array<int>, grid array<array<map<string,string>>>, filters
+    array<array<string>> and commands array<string> (null or empty: not given) and negatives int. There are inter + 1
+    rows of intra + 1 states, each with all ``keys``; a row ends in ``done``, and so do the commands
+    name it. A null list counts as empty, so it breaks the rules of lengths.
+    """
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    some = lambda c, f: F.coalesce(F.exists(c, f), F.lit(False))
+    done = lambda x: F.coalesce(F.lower(F.trim(x)) == "done", F.lit(False))
+    rows, given = F.col("inter") + 1, size(F.col("filters")) > 0
+    pairs = lambda c, more: F.zip_with(c, F.col("intra"), lambda a, n: a.isNull() | n.isNull() | (F.size(a) != n + more))
+    rules = {
+        "grid_rows": size(F.col("grid")) != rows,
+        "intra_rows": size(F.col("intra")) != rows,
+        "filter_rows": given & (size(F.col("filters")) != rows),
+        "filter_row_length": given & some(pairs(F.col("filters"), 0), lambda bad: bad),
+        "grid_row_length": some(pairs(F.col("grid"), 1), lambda bad: bad),
+        "row_end_not_done": some(F.col("grid"), lambda row: ~done(F.try_element_at(row, F.lit(-1))[keys[0]])),
+        "negatives_missing": F.col("negatives").isNull(),
+        "commands_without_done": (size(F.col("commands")) > 0) & ~some(F.col("commands"), done),
+    }
+    lacks = lambda k: lambda cell: ~F.coalesce(F.map_contains_key(cell, k), F.lit(False))
+    for k in keys:
+        rules[f"state_without_{k.lower()}"] = some(F.flatten("grid"), lacks(k))
+    return issues(specs, ["task_id"], rules)
+
+
+def pool(rows: DataFrame, specs: DataFrame, text: str, wanted: str, key: str, salts: int = 32) -> DataFrame:
+    """Rows with the specs that want their text; a spec whose ``wanted`` is null takes every row.
+
+    One equi join: every row goes out under its text and under ``any`` with a salt from its key, each
+    spec under its text or under ``any`` with every salt, so no key holds all rows.
+    """
+    way = lambda salt, x: F.struct(F.lit(salt).cast("long").alias("salt") if isinstance(salt, int) else salt.cast("long").alias("salt"), x.alias("text"))
+    sides = F.array(way(-1, F.col(text).cast("string")), way(F.pmod(F.xxhash64(key), F.lit(salts)), F.lit("")))
+    left = rows.withColumn("__k", F.explode(sides))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: way(s, F.lit("")))
+    right = specs.withColumn("__k", F.explode(F.when(F.col(wanted).isNull(), spread).otherwise(F.array(way(-1, F.col(wanted).cast("string"))))))
+    return left.join(right, "__k").drop("__k")
+
+
+def assigned(episodes: DataFrame, filters: DataFrame, text: str, events: str, need_event: bool = True) -> DataFrame:
+    """Episodes with the first (inter, step) of each task whose filter is their text; others go, as do blank texts.
+
+    ``filters`` has task_id, inter, step and ``text``, one row per allowed text; blanks at both ends don't count.
+    With ``need_event``, episodes without event frames go too.
+    """
+    first = filters.groupBy("task_id", strip_text(F.col(text)).alias("__w")).agg(F.min(F.struct("inter", "step")).alias("__f"))
+    got = episodes.withColumn("__w", strip_text(F.col(text))).filter("__w <> ''").join(first, "__w").drop("__w")
+    got = got.filter(F.size(events) > 0) if need_event else got
+    return got.withColumn("inter", F.col("__f.inter")).withColumn("step", F.col("__f.step")).drop("__f")
+
+
 def transitions(spec: DataFrame) -> DataFrame:
     """State changes inside a row (intra), and from a row's last state to the next row (task_change)."""
     by = Window.partitionBy("task_id").orderBy("inter", "step")

@@ -32,6 +32,21 @@ def missing_files(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return wanted.join(present.select(key).distinct(), key, "left_anti")
 
 
+def key_rules(row: Column, required: list[str], groups: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """Rules of the keys of a row given as JSON text: ``missing_<key>``, and ``missing_any_<name>`` where none of a group is there.
+
+    A key with a JSON null is there. Text that is no JSON object, null too, breaks ``row_not_object`` alone.
+    """
+    keys = F.json_object_keys(row)
+    known = keys.isNotNull()
+    rules = {"row_not_object": ~known}
+    for k in required:
+        rules[f"missing_{k}"] = known & ~F.array_contains(keys, k)
+    for name, some in (groups or {}).items():
+        rules[f"missing_any_{name}"] = known & ~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in some]))
+    return rules
+
+
 def label_rules(output: Column, statuses: list[str], longest: int = 512) -> dict[str, Column]:
     """Rules of a map with desc_1, desc_2 and status; an absent map breaks none."""
     here, rules = output.isNotNull(), {}

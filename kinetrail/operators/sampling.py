@@ -120,3 +120,9 @@ def weighted_order(df: DataFrame, by: str, key: str, weight: Column, n: int, see
     """n rows per group without replacement, chances in proportion to weight (-ln(u) / w)."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(-F.log(hash_uniform(key, seed) + F.lit(1e-12)) / weight, key))
     return df.withColumn("__r", rank).filter(F.col("__r") <= n).drop("__r")
+
+
+def permuted(df: DataFrame, key: str, seed: int = 0, name: str = "position") -> DataFrame:
+    """All rows numbered from 0 in a seeded shuffle, by ranges of the key's hash; one seed an epoch."""
+    mixed = df.withColumn("__h", hash_key(key, seed))
+    return numbered(mixed, "__h", key, name=name).drop("__h")

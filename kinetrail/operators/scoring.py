@@ -44,6 +44,24 @@ def majority_texts(df: DataFrame, by: str, status: str, first: str, second: str,
     return got.select(by, f"__w.{status}", f"__w.__best.{first}", f"__w.__best.{second}", f"__w.__best.{order}", *["votes_" + s.lower().replace(" ", "_") for s in priority])
 
 
+def revote(first: DataFrame, again: DataFrame, by: str, status: str, priority: list[str], unsure: str) -> DataFrame:
+    """Results of ``majority_texts`` of two rounds: undecided groups take the second round's, if that is decisive.
+
+    Then their vote counts are the sums of both rounds; else all is as in the first round.
+    ``retried`` says that the group was undecided, ``replaced`` that it took the second result. Groups of
+    the second round alone give no row.
+    """
+    votes = ["votes_" + s.lower().replace(" ", "_") for s in priority]
+    own = [c for c in first.columns if c != by and c not in votes]
+    second = again.select(F.col(by).alias("__by"), F.struct(*own, *votes).alias("__b"))
+    got = first.join(second, F.col(by) == F.col("__by"), "left")
+    retried = F.coalesce(F.col(status) == unsure, F.lit(False))
+    taken = retried & F.coalesce(F.col(f"__b.{status}") != unsure, F.lit(False))
+    one = [F.when(taken, F.col(f"__b.{c}")).otherwise(F.col(c)).alias(c) for c in own]
+    sums = [F.when(taken, F.col(v) + F.col(f"__b.{v}")).otherwise(F.col(v)).alias(v) for v in votes]
+    return got.select(by, *one, *sums, retried.alias("retried"), taken.alias("replaced"))
+
+
 def match_fields(truth: Column, guess: Column, keys: list[str], norm) -> dict[str, Column]:
     """``match_<key>`` per key of two parsed maps and ``match``, all of them."""
     one = {f"match_{k}": norm(truth[k]).eqNullSafe(norm(guess[k])) for k in keys}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import log_reward, sample_count
 from .positions import Ordered, affine_scan, numbered
 
 
@@ -102,3 +103,48 @@ def advantages(df: DataFrame, episode: str, order: str, reward: Column, value: C
     got = got.withColumn("__b", step).withColumn("__a", F.when(goes_on, F.lit(gamma * lam)).otherwise(0.0)).drop("__n", "__r", "__d")
     out = affine_scan(got, "__p", placed.count, F.col("__a"), F.col("__b"), "advantage")
     return out.select(F.col("__e").alias(episode), F.col("__t").cast("int").alias(order), "advantage", (F.col("advantage") + F.col("__v")).alias("ret"))
+
+
+def rollout_stats(df: DataFrame, episode: str, order: str, choice: str, loss: Column, weight: float) -> DataFrame:
+    """Steps, reward sum and means of reward and its two parts, switches and their rate: per episode, and of all rows.
+
+    The fit is -ln of the loss (at least 1e-6), a switch costs ``weight``; ``level`` is ``episode`` or ``all``. A step
+    with a null or NaN loss counts among steps and switches, not in the sums. Without rows there is no
+    row at all. Neighbours come from one order of all rows, so an episode may span many tasks.
+    """
+    number = F.nanvl(loss.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.col(episode).alias("__e"), F.col(order).alias("__t"), F.col(choice).alias("__c"), number.alias("__l"))
+    got = Ordered(rows, "__e", "__t").neighbours(["__e", "__c"], following=None)
+    switched = F.col("previous").isNotNull() & F.col("previous.__e").eqNullSafe(F.col("__e")) & ~F.col("previous.__c").eqNullSafe(F.col("__c"))
+    parts = got.select("__e", switched.cast("int").alias("__s"), F.when(F.col("__l").isNotNull(), log_reward(F.col("__l"), F.lit(False), weight)).alias("__f"), F.when(F.col("__l").isNotNull(), -weight * switched.cast("double")).alias("__k"))
+    reward = F.col("__f") + F.col("__k")
+    sums = [F.count(F.lit(1)).alias("steps"), F.sum(reward).alias("reward_sum"), F.avg(reward).alias("reward_mean"), F.avg("__f").alias("fit_mean"), F.avg("__k").alias("cons_mean"), F.sum("__s").alias("switches"), F.avg("__s").alias("switch_rate")]
+    out = parts.rollup("__e").agg(F.grouping("__e").alias("__g"), *sums)
+    return out.select(F.when(F.col("__g") == 0, "episode").otherwise("all").alias("level"), F.col("__e").alias(episode), *out.columns[2:])
+
+
+def sampled(frame: Column, length: Column, least: int = 100, most: int = 10_000, power: float = 0.75) -> Column:
+    """True for the evenly spaced frames of an episode of ``length`` that its statistics read.
+
+    There are ``sample_count`` of them from the first to the last, rounded half to even. They lie one
+    frame apart or more, so a frame can only be the one of its own nearest slot; no list of frames is made.
+    """
+    n = sample_count(length, least, most, power)
+    step = (length - 1).cast("double") / F.greatest(n - 1, F.lit(1))
+    slot = F.round(frame / F.when(step > 0, step))
+    return F.coalesce((F.bround(slot * step) == frame) & (slot < n), frame == 0)
+
+
+def backfill(df: DataFrame, known: DataFrame, episode: str, full: list[str], sparse: list[str], frame: str = "frame_index", **counts) -> DataFrame:
+    """Statistics per (episode, feature) of episodes that ``known`` lacks: of all frames for ``full``, of sampled ones for ``sparse``.
+
+    Rows are in order of episode and feature, ranges of episodes a partition. Frames are numbered from 0. NaN counts as missing.
+    """
+    todo = df.select(episode, frame, *full, *sparse).join(known.select(episode).distinct(), episode, "left_anti")
+    lengths = todo.groupBy(episode).agg(F.count(F.lit(1)).alias("__n"))
+    rows = todo.join(lengths, episode)
+    read = sampled(F.col(frame), F.col("__n"), **counts)
+    values = [F.struct(F.lit(c).alias("feature"), F.lit(True).alias("read"), F.col(c).cast("double").alias("x")) for c in full]
+    values += [F.struct(F.lit(c).alias("feature"), read.alias("read"), F.col(c).cast("double").alias("x")) for c in sparse]
+    long = rows.select(episode, F.explode(F.array(*values)).alias("v")).filter("v.read").select(episode, "v.feature", "v.x")
+    return scalar_stats(long, [episode, "feature"], "x").repartitionByRange(episode, "feature").sortWithinPartitions(episode, "feature")

@@ -7,10 +7,13 @@ is one row a block.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import shard_ids
+from .files import _path
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -68,3 +71,21 @@ def write_shards(df: DataFrame, path: str, group: str, order: str, size: int) ->
     """One folder per group and shard of ``size`` rows, as JSON lines."""
     rows = shard_ids(df, group, order, size)
     rows.repartition(group, "shard").sortWithinPartitions(group, "shard", order).write.partitionBy(group, "shard").json(path)
+
+
+def write_object(spark: SparkSession, path: str, value: dict) -> None:
+    """One JSON object, of metadata's size, as one file: indented by 4, other scripts as they are; replaces a file."""
+    where, fs = _path(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write((json.dumps(value, indent=4, ensure_ascii=False) + "\n").encode())
+    finally:
+        out.close()
+
+
+def read_object(spark: SparkSession, path: str) -> dict:
+    """The object of such a file; a missing file or text that is no object is an error."""
+    value = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if not isinstance(value, dict):
+        raise ValueError(f"{path} holds no JSON object")
+    return value

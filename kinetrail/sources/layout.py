@@ -1,6 +1,6 @@
 """Where episodes, videos and metadata of a dataset lie."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,24 @@ def episode_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"episode_(\d+)\.[a-z0-9]+$", 1), F.lit("")).cast("int")
 
 
-def write_episodes(df, path: str, size: int, episode: str = "episode_index", frame: str = "frame_index") -> None:
-    """Frames as parquet under one folder per chunk; an episode is in one file, in order."""
+def write_episodes(df, path: str, size: int, episode: str = "episode_index", frame: str = "frame_index", seen: dict | None = None) -> dict:
+    """Frames as parquet under one folder per chunk; an episode is in one file, in order.
+
+    ``seen`` names aggregates that the write job itself computes, behind its shuffle, so that a map task
+    that runs twice counts once; their values are returned.
+    """
     rows = df.withColumn("episode_chunk", chunk_of(F.col(episode), size))
-    rows.repartition("episode_chunk", episode).sortWithinPartitions("episode_chunk", episode, frame).write.partitionBy("episode_chunk").parquet(f"{path}/data")
+    rows = rows.repartition("episode_chunk", episode).sortWithinPartitions("episode_chunk", episode, frame)
+    watched = Observation() if seen else None
+    if watched:
+        rows = rows.observe(watched, *[x.alias(k) for k, x in seen.items()])
+    rows.write.partitionBy("episode_chunk").parquet(f"{path}/data")
+    return watched.get if watched else {}
+
+
+def read_lengths(spark, path: str, episode: str = "episode_index"):
+    """Episode and length of what lies there, in order; one column is read."""
+    return spark.read.parquet(f"{path}/data").groupBy(episode).agg(F.count(F.lit(1)).alias("length")).orderBy(episode)
 
 
 def read_episodes(spark, path: str, size: int, episodes: list[int] | None = None, episode: str = "episode_index"):
