@@ -284,8 +284,8 @@ class ShingleFilters:
 def _lists(shared, filters):
     """Shingles that two sets of fitting sizes share, with each one's hub (null: no link).
 
-    Salted shingles keep every row: their others may be elsewhere. Rows that are not
-    open are of lists whose pairs are all hub pairs.
+    Salted shingles keep every row open, a lone one too: their others may be elsewhere. Rows
+    that are not open are of lists whose pairs are all hub pairs.
     """
 
     def run(batches):
@@ -331,7 +331,7 @@ def _lists(shared, filters):
         single = np.bincount(number, hub == np.arange(len(hub)))[number] == 1
         settled = single & ~salted  # all pairs with the only hub are proposed or refused
         left = np.bincount(number)[number] - settled
-        opened = ~(settled & (hub == np.arange(len(hub)))) & (left > 1)
+        opened = ~(settled & (hub == np.arange(len(hub)))) & ((left > 1) | salted)
         out = pair | opened
         columns = [key.view(np.int64)[out], node[out], n[out], place[out], node[hub][out], opened[out]]
         links = pair[out]

@@ -135,6 +135,25 @@ def test_ngram_join(spark, monkeypatch):
     assert found(ngram_join.ngram_join(docs(spark, rows), digest_bits=6)) == want  # most first digests stand for several sets
 
 
+def test_salted_lists_stay_open_across_buckets(monkeypatch):
+    """Rows of a salted list that are alone in their bucket meet the others as open rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
+    cells = np.zeros(ngram_join.CELLS, np.uint32)
+    h, node = np.array([5 << 40, 6 << 40], np.uint64), np.arange(1, 13)
+    cells[0] = 40  # both shingles are in the first cell
+    order = ngram_join.Order(cells)
+    doc = np.repeat(np.arange(12), 2)
+    batch = ngram_join.packs(node, np.full(12, 8), doc, np.tile(h, 12), np.zeros(24, np.int64), order, 97)
+    assert batch.num_rows > 12 and max(len(x) for x in batch.column(1).to_pylist()) <= 8 * 8  # spread over buckets
+    shared = type("Shared", (), {"value": cells})
+    found = [r for b in ngram_join._lists(shared, ngram_join.ShingleFilters(75))([batch]) for r in pa.Table.from_batches([b]).to_pylist()]
+    for token in {r["token"] for r in found}:
+        assert sorted(r["node"] for r in found if r["token"] == token and r["open"]) == node.tolist()
+    assert len({r["token"] for r in found}) == 2
+
+
 def test_drop_near_copies(spark):
     rows = EDGES + near_rows(7, 40)
     clash = docs(spark, rows).withColumn("component_id", F.lit(1)).withColumn("id", F.lit("x")).withColumn("node", F.lit(2))
