@@ -96,15 +96,18 @@ def append_shifted(old: DataFrame, new: DataFrame, index: str, episode: str, cap
     return keep_last_n(old.unionByName(moved), index, capacity)
 
 
-def read_at(buffer: DataFrame, index: str, wanted: DataFrame, at: str) -> DataFrame:
+def read_at(buffer: DataFrame, index: str, wanted: DataFrame, at: str, strict: bool = True) -> DataFrame:
     """Rows of the buffer at positions counted from its oldest row, negative ones from its end.
 
     The buffer's indices are consecutive; the join is a left one, so that an empty buffer is no
-    reason to leave the positions unread. A position outside of it is an error, as is null.
+    reason to leave the positions unread. A position outside of it is an error, as is null; unless
+    ``strict`` it has no row.
     """
     ends = buffer.agg(F.min(index).alias("__lo"), (F.max(index) + 1).alias("__hi"))
     asked = wanted.join(F.broadcast(ends), F.lit(1) == F.lit(1), "left")  # one row of totals
     place = F.col(at) + F.when(F.col(at) < 0, F.col("__hi")).otherwise(F.col("__lo"))
     inside = place.between(F.col("__lo"), F.col("__hi") - 1)
+    if not strict:
+        return asked.withColumn("__at", place).drop("__lo", "__hi").join(buffer.withColumnRenamed(index, "__at"), "__at").withColumnRenamed("__at", index)
     wrong = F.raise_error(F.concat(F.lit("position outside of the buffer: "), F.coalesce(F.col(at).cast("string"), F.lit("null")))).cast("long")
     return asked.withColumn("__at", F.when(inside, place).otherwise(wrong)).drop("__lo", "__hi").join(buffer.withColumnRenamed(index, "__at"), "__at", "left").withColumnRenamed("__at", index)

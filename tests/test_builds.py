@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinetrail.functions import jsontext as J
 from kinetrail.functions import text as X
 from kinetrail.operators import memory, merge, quality, sampling, scoring
+from kinetrail.plans import builds
 from kinetrail.plans.training_rows import spec_table
 from kinetrail.sources import sinks
 
@@ -75,6 +76,8 @@ def test_draws_repeat_and_buffer_goes_on(spark):
         merge.read_at(new, "i", at(3), "at").collect()
     with pytest.raises(Exception, match="outside"):
         merge.read_at(new.limit(0), "i", at(0), "at").collect()
+    loose = lambda b: sorted((r["at"], r["i"]) for r in merge.read_at(b, "i", at(-4, -3, 2, 3), "at", strict=False).collect())
+    assert loose(new) == [(-3, 0), (2, 2)] and loose(new.limit(0)) == []
 
 
 def test_votes_and_rules(spark):
@@ -112,3 +115,10 @@ def test_build_and_sinks(spark, tmp_path):
     sinks.write_votes(df, str(tmp_path / "v"))
     assert spark.read.option("header", True).csv(str(tmp_path / "v/csv")).count() == 3
     assert {json.loads(r["value"])["id"] for r in spark.read.text(str(tmp_path / "v/jsonl")).collect()} == {1, 2, 3}
+
+
+def test_buffer_reads_with_more_users_than_rows(spark, tmp_path):
+    rows = [(i, u, i / 2) for i, u in enumerate([0, 399, 400, 7_000] * 150)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r["pos"], r["idx"]) for r in builds.buffer_reads(spark, str(tmp_path)).collect())
+    assert got == [(-400, 200), (-1, 599), (0, 200), (399, 599)]
