@@ -63,10 +63,12 @@ def label_rules(output: Column, statuses: list[str], longest: int = 512) -> dict
 def target_rules(target: Column, statuses: list[str], longest: int = 512) -> dict[str, Column]:
     """Rules of a target given as JSON text with status, desc_1 and desc_2; a null text breaks none.
 
-    Text that is no JSON, or no object, breaks that rule alone. A description that is absent, not a
-    string or blank is empty; a status counts only as a string.
+    Text that is no JSON, or no object, breaks that rule alone; so does text that goes on behind a JSON value. A
+    description that is absent, not a string or blank is empty; a status counts only as a string.
     """
-    value = F.try_parse_json(target)
+    mark = F.xxhash64(target).cast("string")  # Spark's parser stops behind a first value: the text's own hash must follow it
+    both = F.try_parse_json(F.concat(F.lit("["), target, F.lit(',"'), mark, F.lit('"]')))
+    value = F.when(F.try_variant_get(both, "$[1]", "string") == mark, F.try_variant_get(both, "$[0]", "variant"))
     kind = F.schema_of_variant(value)
     off = lambda c: F.coalesce(c, F.lit(False))
     whole = off(kind.startswith("OBJECT"))

@@ -122,3 +122,14 @@ def test_buffer_reads_with_more_users_than_rows(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted((r["pos"], r["idx"]) for r in builds.buffer_reads(spark, str(tmp_path)).collect())
     assert got == [(-400, 200), (-1, 599), (0, 200), (399, 599)]
+
+
+def test_targets_are_judged_as_whole_texts(spark, tmp_path):
+    texts = ["4537960215852590 That is", '{"status": "DONE"} x', "1],[2", "1, 2", "", " [1] ", "null", '"a"', "4537960215852590", None]
+    rules = quality.target_rules(F.col("t"), ["DONE"])
+    got = quality.issues(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), ["i"], rules).collect()
+    assert sorted(map(tuple, got)) == [(i, "label_target_text_not_json") for i in range(5)] + [(i, "label_target_text_not_dict") for i in range(5, 9)]
+    rows = [(6 * i + k, t, "en") for i, t in enumerate(texts) for k in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, builds.target_issues(spark, str(tmp_path)).collect()))
+    assert got == sorted([(24, "label_desc1_empty")] + [(6 * i + 1, "label_target_text_not_json") for i in range(5)])
