@@ -20,6 +20,8 @@ def one(spark, column):
 def test_parsers_and_their_errors(spark):
     assert one(spark, X.int_ranges(F.lit("3, 35:37,,41-40 "))) == [3, 35, 36, 37, 40, 41]
     assert one(spark, X.int_ranges(F.lit(None).cast("string"))) == []
+    assert one(spark, X.int_ranges(F.lit("9, 2:5,4 - 7,3,0,12-11,5:2, 6,8:8"))) == [0, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12]
+    assert one(spark, X.int_ranges(F.lit("0, 10:1000000,999999-5"))) == [0, *range(5, 1_000_001)]
     assert one(spark, X.weight_spec(F.lit("a=1, b = 0.5,a=2"))) == {"a": 2.0, "b": 0.5}
     assert one(spark, X.weight_spec(F.lit(""))) == {}
     assert one(spark, X.strip_wrapping(F.lit("<<a>>"), "<<", ">>")) == "a"
