@@ -12,11 +12,11 @@ pieces has the weight one of the semiring (zero) if merging the two pieces' own
 exactly these two, and its zero (infinity) otherwise. Both are tropical weights: along a
 path they add up to zero if all pairs are legal, to infinity if one is not, and a text
 has exactly one path of finite weight, its shortest. One min-plus relaxation over the
-lazily composed lattice serves both kinds of model.
+lazily composed lattice serves both kinds of model; only the order of its queue differs.
 The result equals that of the library (see the tests), without its code.
 
-Words are composed once and remembered in each worker, in two generations of up to
-``CACHE`` words; words in use stay.
+Words, cut where no piece can span, are composed once and remembered in each worker, in two generations of
+up to ``CACHE`` words; words in use stay.
 Blanks never stand inside a piece in such models; where a model has pieces across
 blanks the whole text is one input.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -105,11 +106,34 @@ class Transducer:
         out = {NORMAL: lambda p: p.replace(BLANK, " ").encode(), USER: lambda p: p.replace(BLANK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.text = [out.get(kind, lambda p: b"")(p) for p, _, kind in pieces]
         self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}  # neighbours inside some piece
+        self.inputs = self._inputs().findall
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[str | None, dict[str, float]] = {}
         self.known_pairs = 0
 
+    def _inputs(self) -> re.Pattern:
+        """Blanks with what follows them: characters of one class, or one character of none.
+
+        Two characters are of one class if pieces lead from one to the other by neighbours, so
+        no piece spans two classes, nor a blank that ends what it holds.
+        """
+        to: dict[str, str] = {}
+
+        def root(c):
+            while to.setdefault(c, c) != c:
+                c = to[c]
+            return c
+
+        for pair in self.joins:
+            if BLANK not in pair:
+                to[root(pair[0])] = root(pair[1])
+        classes: dict[str, list[str]] = {}
+        for c in sorted(to):
+            classes.setdefault(root(c), []).append(c)
+        own = [f"{BLANK}*[{''.join(map(re.escape, c))}]+" for c in sorted(classes.values(), key=len, reverse=True)]
+        return re.compile("|".join([*own, f"{BLANK}*[^{BLANK}]", f"{BLANK}+"]))
+
     def merged(self, s: str) -> list[str]:
         """The pieces that merging makes of a short text: best score first, leftmost on ties."""
         parts = list(s)
@@ -138,42 +162,45 @@ class Transducer:
         self.pairs.setdefault(before, {})[self.own[piece]] = found  # the piece's one string, not a copy
         return found
 
-    def arcs(self, s: str, i: int) -> list[tuple[int, str | None]]:
-        """Composition of the input with the acceptor at position i: (end, piece) of every
-        piece that starts there, or (end, None) for a character that goes by its bytes."""
-        out, j, starts = [], i + 1, self.starts
-        if s[i] not in self.ids:
-            out.append((j, None))
-        state = starts.get(s[i])
-        while state is not None:
-            if state >= 0:
-                out.append((j, s[i:j]))
-            j += 1
-            state = starts.get(s[i:j]) if j <= len(s) else None
-        return out
-
     def shortest(self, s: str) -> list[int]:
         """Ids on the shortest path through the lattice of ``s`` in the tropical semiring.
 
-        Positions are relaxed from left to right. Of BPE lattices a position has at most one
-        path of finite weight, so its last piece is known and pair weights need no more states;
-        unigram weights do not depend on the piece before.
+        At each position the input is composed with the acceptor: an arc for every piece that starts there, and
+        one for a character without a piece, that goes by its bytes. The queue is ordered by cost for BPE models, the
+        furthest position first among equals (no weight is below zero, so a position that leaves it is settled, and
+        positions that wait when the end leaves it are never composed), and by position for unigram ones. Of BPE
+        lattices a position has at most one path of finite weight, so its last piece is known and pair weights
+        need no more states; unigram weights do not depend on the piece before.
         """
-        n, ids, none = len(s), self.ids, {}
+        n, ids, none, step, bpe = len(s), self.ids, {}, self.starts.get, self.bpe
         cost, last = [0.0] + [INFINITE] * n, [(0, None)] * (n + 1)  # last: (start, piece or None for bytes)
-        for i in range(n):
-            so_far, before = cost[i], last[i][1]
-            if so_far == INFINITE:  # composition is lazy: positions out of reach are not composed
+        settled, queue = bytearray(n + 1), [(0.0, 0)]
+        while queue:
+            i = -heappop(queue)[1]
+            if i == n:
+                break
+            if settled[i]:
                 continue
-            row = self.pairs.get(before, none)
-            for j, piece in self.arcs(s, i):
-                if piece is None:
-                    c = so_far - self.worst
-                else:
-                    c = row.get(piece)
+            settled[i] = 1
+            so_far, before, j, piece = cost[i], last[i][1], i + 1, s[i]
+            known = self.pairs.get(before, none).get
+            if piece not in ids and so_far - self.worst < cost[j]:
+                c = cost[j] = so_far - self.worst
+                last[j] = (i, None)
+                heappush(queue, (c if bpe else j, -j))
+            state = step(piece)
+            while state is not None:
+                if state >= 0:
+                    c = known(piece)
                     c = so_far + (self.weight(before, piece) if c is None else c)
-                if c < cost[j]:
-                    cost[j], last[j] = c, (i, piece)
+                    if c < cost[j]:
+                        cost[j], last[j] = c, (i, piece)
+                        heappush(queue, (c if bpe else j, -j))
+                if j == n:
+                    break
+                j += 1
+                piece = s[i:j]
+                state = step(piece)
         out, j = [], n
         while j:
             i, piece = last[j]
@@ -187,18 +214,15 @@ class Transducer:
         return out[::-1]
 
     def _word(self, s: str) -> bytes:
-        """Ids of one input as int32, remembered."""
-        found = self.words.get(s) or self.older.get(s)
+        """Ids of one input that is not among ``words``, as int32, remembered."""
+        found = self.older.get(s)
         if found is None:
-            joins, cuts = self.joins, [0]
-            for k in range(1, len(s)):  # no piece spans a pair that none contains
-                if s[k - 1 : k + 1] not in joins:
-                    cuts.append(k)
-            if len(cuts) > 1:
-                cuts.append(len(s))
-                found = b"".join([self._word(s[a:b]) for a, b in zip(cuts, cuts[1:])])
-            else:
+            joins, get = self.joins, self.words.get
+            if joins.issuperset(map(str.__add__, s, s[1:])):
                 found = array("i", self.shortest(s)).tobytes()
+            else:  # no piece spans a pair that none contains
+                cuts = [0, *[k for k, p in enumerate(map(str.__add__, s, s[1:]), 1) if p not in joins], len(s)]
+                found = b"".join([get(p) or self._word(p) for p in [s[i:j] for i, j in zip(cuts, cuts[1:])]])
         if len(self.words) >= CACHE:  # words in use move on to the next generation
             self.older, self.words = self.words, {}
         self.words[s] = found
@@ -209,13 +233,9 @@ class Transducer:
             return np.zeros(0, np.int32)
         s = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
         if not self.by_word:
-            return np.frombuffer(self._word(s), np.int32)
-        if "\n" in self.ids:
-            parts = _INPUT.findall(s)
-        else:  # a character without a piece is a boundary
-            parts = [x for line in _LINE.split(s) for x in (_INPUT.findall(line) if line != "\n" else (line,))]
+            return np.frombuffer(self.words.get(s) or self._word(s), np.int32)
         get, missing = self.words.get, self._word
-        return np.frombuffer(b"".join([get(p) or missing(p) for p in parts]), np.int32)
+        return np.frombuffer(b"".join([get(p) or missing(p) for p in self.inputs(s)]), np.int32)
 
     def decode(self, ids) -> str:
         t = self.text
@@ -235,10 +255,6 @@ def compiled(model: dict) -> Transducer:
     return _COMPILED[model["key"]]
 
 
-_INPUT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_LINE = re.compile("(\n)")
-
-
 def _run(shared, at: int, kept: list[int], names: list[str]):
     """The text is column ``at``; the columns ``kept`` go on."""
 

@@ -455,3 +455,13 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.exact_dedup(none).count() == 0
     assert ngram_join.ngram_join(none).count() == 0 and suffix_dedup.suffix_dedup(none).count() == 0
     assert pii.pii_spans(none).count() == 0 and sentencepiece_fst.encode(none).count() == 0
+
+
+def test_inputs_are_cut_where_no_piece_spans():
+    """Marks beside a word make no other word of it, and the parts' ids are those of the whole text."""
+    fst = sentencepiece_fst.Transducer(sentencepiece_fst.read_model())
+    text = "the house, the house. (the house!) the\nhouse  .. été1 据x\ty—the house…"
+    whole = "▁" + text.replace(" ", "▁")
+    assert "".join(fst.inputs(whole)) == whole
+    assert fst.encode(text).tolist() == fst.shortest(whole)
+    assert {w for w in fst.words if "house" in w} == {"▁house", "house"}
