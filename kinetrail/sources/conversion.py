@@ -17,6 +17,8 @@ from . import layout
 from .files import delete, is_folder
 from .jsonl import append_lines, write_object
 
+FILE_ROWS = 1_000_000  # of a data file, if episodes are of about the same length
+
 
 def _with_task(rows: DataFrame, episode: str, task: str | None, by_episode: DataFrame | None, column: str | None) -> DataFrame:
     given = [x is not None for x in (task, by_episode, column)]
@@ -45,7 +47,9 @@ def convert(df: DataFrame, root: str, episode: str, order: list[str], chunk: int
     tasks = checkpointed(dictionary(place, "task", "__o").select(F.col("code").cast("long").alias("task_index"), "task"))
     whole = rows.join(tasks, "task", "left").drop("task")
     number = F.col(episode)
-    seen = layout.write_episodes(whole, root, chunk, episode, seen={
+    sizes = rows.agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("frame_index") == 0).alias("episodes")).first()
+    together = max(1, min(chunk, FILE_ROWS * sizes["episodes"] // max(sizes["frames"], 1)))
+    seen = layout.write_episodes(whole, root, chunk, episode, together=together, seen={
         "frames": F.count(F.lit(1)),
         "episodes": F.count_if(F.col("frame_index") == 0),
         "low": F.min(number),

@@ -21,14 +21,17 @@ def episode_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"episode_(\d+)\.[a-z0-9]+$", 1), F.lit("")).cast("int")
 
 
-def write_episodes(df, path: str, size: int, episode: str = "episode_index", frame: str = "frame_index", seen: dict | None = None) -> dict:
+def write_episodes(df, path: str, size: int, episode: str = "episode_index", frame: str = "frame_index", seen: dict | None = None, together: int = 1) -> dict:
     """Frames as parquet under one folder per chunk; an episode is in one file, in order.
 
+    Up to ``together`` episodes of a chunk, by number, go to one task, so that a chunk of short episodes is
+    not a file of every task.
+
     ``seen`` names aggregates that the write job itself computes, behind its shuffle, so that a map task
     that runs twice counts once; their values are returned.
     """
     rows = df.withColumn("episode_chunk", chunk_of(F.col(episode), size))
-    rows = rows.repartition("episode_chunk", episode).sortWithinPartitions("episode_chunk", episode, frame)
+    rows = rows.repartition("episode_chunk", F.floor(F.pmod(F.col(episode), F.lit(size)) / together)).sortWithinPartitions("episode_chunk", episode, frame)
     watched = Observation() if seen else None
     if watched:
         rows = rows.observe(watched, *[x.alias(k) for k, x in seen.items()])

@@ -230,3 +230,12 @@ def test_objects_are_replaced_and_checked(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([1]))
     with pytest.raises(ValueError):
         jsonl.read_object(spark, str(tmp_path / "list.json"))
+
+
+def test_conversion_writes_one_file_for_a_chunk_of_short_episodes(spark, tmp_path):
+    df = spark.range(3000).select(F.floor(F.col("id") / 10).alias("e"), F.col("id").alias("t"))
+    convert(df, str(tmp_path / "set"), "e", ["t"], 50, "2.0", 5.0, task="all")
+    assert sorted(len(list(p.glob("*.parquet"))) for p in (tmp_path / "set" / "data").glob("episode_chunk=*")) == [1] * 6
+    layout.write_episodes(df.withColumnRenamed("t", "frame_index"), str(tmp_path / "apart"), 50, "e", together=20)
+    files = [p for p in (tmp_path / "apart" / "data").glob("*/*.parquet")]
+    assert spark.read.parquet(str(tmp_path / "apart" / "data")).select("e", F.input_file_name()).distinct().count() == 300 and len(files) <= 18
