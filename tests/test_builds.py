@@ -34,6 +34,20 @@ def test_parsers_and_their_errors(spark):
     assert one(spark, J.missing_keys(F.lit(None).cast("map<string,string>"), ["a"])) == ["a"]
 
 
+def test_rows_of_a_user_are_beside_each_other_and_long_ones_first(spark, tmp_path):
+    cols = ["id AS event_id", "'view' AS event_type", "id / 7D AS value", "cast(pmod(hash(id), 200) AS long) AS user_id"]
+    spark.range(0, 20_000, 1, 3).selectExpr(*cols).write.parquet(f"{tmp_path}/events.parquet")
+    events = {r["event_id"]: r["user_id"] for r in spark.read.parquet(f"{tmp_path}/events.parquet").collect()}
+    got = builds.parsers(spark, str(tmp_path)).select("event_id", "ids", F.spark_partition_id().alias("part")).collect()
+    assert {r["event_id"]: r["ids"] for r in got} == {i: sorted({*range(min(u, i % 40), max(u, i % 40) + 1), i}) for i, u in events.items()}
+    parts = {}
+    for r in got:
+        parts.setdefault(events[r["event_id"]], set()).add(r["part"])
+    assert len(set.union(*parts.values())) > 8 and max(map(len, parts.values())) <= 3
+    placed = [(r["part"], -events[r["event_id"]]) for r in got]
+    assert placed == sorted(placed)
+
+
 def test_hash_rank_equals_one_window(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("g"))
     got = {r["id"]: (r["rank"], r["rank_of"]) for r in sampling.hash_rank(df, "g", "id", 5).collect()}
